@@ -74,8 +74,8 @@ def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
     """
     bare = F.regexp_replace(clean_text(text), r"[$€£\s]", "")
     decimal_comma = F.contains(bare, F.lit(",")) & ~F.contains(bare, F.lit("."))
-    plain = F.translate(bare, ",", F.lit("."))
-    grouped = F.translate(bare, ",", F.lit(""))
+    plain = F.translate(bare, ",", ".")
+    grouped = F.translate(bare, ",", "")
     return F.when(decimal_comma, plain).otherwise(grouped).try_cast(f"decimal({precision},{scale})")
 
 

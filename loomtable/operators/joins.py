@@ -64,10 +64,8 @@ def filtered_join_count(
 ) -> DataFrame:
     """Filter early, keep only needed columns, join, count per group.
 
-    Matches are counted per key on the lookup side first, so neither side can blow up.
+    Lookup rows are counted per key first, so a key repeated on both sides does not multiply.
     """
     matches = lookup.groupBy(key).agg(F.count("*").alias("_matches"))
-    rows = df.filter(keep).groupBy(key, group).agg(F.count("*").alias("_rows"))
-    return rows.join(matches, key).groupBy(group).agg(
-        F.sum(F.col("_rows") * F.col("_matches")).alias(name)
-    )
+    rows = df.filter(keep).select(key, group)
+    return rows.join(matches, key).groupBy(group).agg(F.sum("_matches").alias(name))

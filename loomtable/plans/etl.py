@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomtable import sinks
 from loomtable.functions.cleaning import UNKNOWN
-from loomtable.operators.hotkeys import broadcast_if_small
 from loomtable.operators.windows import dedupe_by_key, top_n_per_group
 
 
@@ -26,7 +25,7 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 
 def enrich(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders with city and segment; orders of unknown customers stay, labelled Unknown."""
-    joined = orders.join(broadcast_if_small(customers), "customer_id", "left")
+    joined = orders.join(customers, "customer_id", "left")
     return joined.fillna(UNKNOWN, subset=["city", "segment"])
 
 

@@ -41,7 +41,7 @@ def messages(lines: DataFrame, level: str = "ERROR") -> DataFrame:
 def error_words(lines: DataFrame, prefix: str = "ERROR") -> DataFrame:
     """Upper-cased words of the lines that start with a prefix."""
     hit = lines.filter(F.col("value").startswith(prefix))
-    return hit.select(F.upper(F.explode(tokens(F.col("value")))).alias("word"))
+    return hit.select(F.explode(tokens(F.upper("value"))).alias("word"))
 
 
 def successful_endpoints(lines: DataFrame, status: str = "200") -> DataFrame:

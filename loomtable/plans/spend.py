@@ -49,5 +49,5 @@ def sales_line(columns: list[str], sep: str = ",") -> Column:
 
 def revenue_line(price: str, quantity: str, labels: list[str]) -> Column:
     """``labels..., price * quantity`` with two decimals."""
-    revenue = F.format_string("%.2f", F.col(price) * F.col(quantity))
+    revenue = F.format_string("%.2f", (F.col(price) * F.col(quantity)).cast("double"))
     return F.concat_ws(",", *[F.col(c).cast("string") for c in labels], revenue)
