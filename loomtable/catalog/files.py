@@ -168,9 +168,13 @@ SELECT * {doubles('unit_price', 'discount_pct', 'source_total_amount', 'calculat
 def table_reload(spark, sf):
     """Curate, store, export to CSV, and reload the exported facts into a typed table."""
     raw = raw_tables(spark, sf)
-    export = scratch_path(spark, "export")
-    retail.run(raw, "loom_curated", export)
-    tables = retail.load_exports(spark, export, "loom_warehouse")
+    base = scratch_path(spark, "tables")
+    run_id = base.rsplit("-", 1)[1]
+    curated, warehouse = f"loom_curated_{run_id}", f"loom_warehouse_{run_id}"
+    sinks.create_database(spark, curated, f"{base}/curated")
+    sinks.create_database(spark, warehouse, f"{base}/warehouse")
+    retail.run(raw, curated, f"{base}/export")
+    tables = retail.load_exports(spark, f"{base}/export", warehouse)
     return plain(spark.table(tables["fact_orders"]))
 
 

@@ -6,10 +6,14 @@ Every function takes and returns a ``Column``, works under the default ANSI mode
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The accepted spellings and their canonical forms.
+CURRENCY_SIGNS = "$€£"
+BLANKS = " \t\n\x0b\f\r"
 NULL_WORDS = ("", "NULL", "N/A", "NA", "NONE", "NAN")
 TRUE_WORDS = ("true", "yes", "y", "1")
 FALSE_WORDS = ("false", "no", "n", "0")
@@ -41,12 +45,12 @@ UNKNOWN = "Unknown"
 
 
 def canonical(key: Column, spellings: dict[str, tuple[str, ...]], default: Column) -> Column:
-    """Replace a known spelling by its canonical form, anything else by ``default``."""
-    result = None
-    for name, known in spellings.items():
-        hit = key.isin(*known)
-        result = F.when(hit, name) if result is None else result.when(hit, name)
-    return result.otherwise(default)
+    """Replace a known spelling by its canonical form, anything else by ``default``.
+
+    One map lookup, so the key is computed once however many spellings there are.
+    """
+    pairs = [F.lit(v) for name, known in spellings.items() for word in known for v in (word, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
 
 
 def keep_if(value: Column, condition: Column) -> Column:
@@ -62,8 +66,9 @@ def clean_text(text: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     """Integer value; a fractional part is cut off (``12.7`` is 12), other text is null."""
-    whole = F.regexp_extract(clean_text(text), r"^([+-]?\d+)(\.\d*)?$", 1)
-    return whole.try_cast("int")
+    value = clean_text(text)
+    whole = F.regexp_extract(value, r"^([+-]?\d+)\.\d*$", 1).try_cast("int")
+    return F.coalesce(value.try_cast("int"), keep_if(whole, F.contains(value, F.lit("."))))
 
 
 def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
@@ -72,7 +77,7 @@ def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
     A comma is the decimal separator when the text has no point, otherwise it groups
     thousands. ``1,234`` is therefore 1.23 and ``1,234,567`` is null.
     """
-    bare = F.regexp_replace(clean_text(text), r"[$€£\s]", "")
+    bare = F.translate(clean_text(text), CURRENCY_SIGNS + BLANKS, "")
     decimal_comma = F.contains(bare, F.lit(",")) & ~F.contains(bare, F.lit("."))
     plain = F.translate(bare, ",", ".")
     grouped = F.translate(bare, ",", "")
@@ -80,9 +85,16 @@ def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
 
 
 def parse_date(text: Column, formats: tuple[str, ...]) -> Column:
-    """Date by the first format that fits."""
+    """Date by the first format that fits.
+
+    Formats are made of ``yyyy``, ``MM``, ``dd`` and separators. A value is only parsed by
+    a format of its own shape: a failed parse costs many times a shape test.
+    """
     value = clean_text(text)
-    return F.coalesce(*[F.try_to_date(value, fmt) for fmt in formats])
+    return F.coalesce(*[
+        F.try_to_date(keep_if(value, value.rlike(f"^{re.sub('[yMd]', '[0-9]', fmt)}$")), fmt)
+        for fmt in formats
+    ])
 
 
 def parse_boolean(text: Column) -> Column:
@@ -140,7 +152,7 @@ def parse_brand(text: Column) -> Column:
 def parse_payment(text: Column) -> Column:
     """Canonical payment method; missing is ``Unknown``, others are capitalized."""
     value = clean_text(text)
-    key = F.lower(F.regexp_replace(value, r"\s+", ""))
+    key = F.lower(F.translate(value, BLANKS, ""))
     return F.coalesce(canonical(key, PAYMENTS, F.initcap(value)), F.lit(UNKNOWN))
 
 

@@ -28,7 +28,7 @@ def hashtag_count(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Blank-separated tokens, without empty ones at either end."""
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def token(text: Column, index: int, sep: str = " ", limit: int = -1) -> Column:

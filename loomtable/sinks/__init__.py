@@ -39,10 +39,15 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").csv(path, header=True, nullValue="", dateFormat="yyyy-MM-dd")
 
 
+def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """Create a database unless it exists, below a given folder or in the warehouse."""
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
+
+
 def save_table(df: DataFrame, database: str, name: str, fmt: str = "parquet") -> str:
-    """Create the database if needed and replace the named table."""
-    spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    """Replace the named table, creating its database if needed."""
+    create_database(df.sparkSession, database)
     full = f"{database}.{name}"
     df.write.mode("overwrite").format(fmt).saveAsTable(full)
     return full
