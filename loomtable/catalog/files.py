@@ -42,11 +42,12 @@ def csv_columns(spark, sf):
     return raw.select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_name").alias("name"))
 
 
-@query("SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS name, CAST(n_regionkey AS INTEGER) AS region FROM nation")
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance FROM customer")
 def csv_inferred(spark, sf):
     path = scratch_path(spark, "csv")
-    sinks.export_csv(table(spark, sf, "nation"), path)
-    return read_inferred(spark, path, ["id", "name", "region"])
+    sinks.export_csv(customer_columns(spark, sf), path)
+    inferred = read_inferred(spark, path, ["id", "name", "nation", "balance"])
+    return inferred.withColumn("id", F.col("id").cast("bigint"))
 
 
 def quarantine_input(spark, sf):
@@ -131,11 +132,12 @@ def line_revenue_text(spark, sf):
     return exact.select(spend.revenue_line("price", "quantity", ["product_id", "name"]).alias("value"))
 
 
-@query("SELECT n_nationkey || ' ' || n_name AS value FROM nation")
+@query("SELECT event_type || ' ' || count(*) AS value FROM events GROUP BY event_type")
 def text_single_file(spark, sf):
     path = scratch_path(spark, "one")
-    nation = table(spark, sf, "nation").select(F.concat_ws(" ", "n_nationkey", "n_name").alias("value"))
-    sinks.write_text(sinks.one_file_if_small(nation), path)
+    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    line = F.concat_ws(" ", "event_type", "n")
+    sinks.write_text(sinks.one_file_if_small(counts), path, line)
     return read_lines(spark, path)
 
 

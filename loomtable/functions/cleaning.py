@@ -59,110 +59,176 @@ def keep_if(value: Column, condition: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Trim, and turn null-like words into null."""
+    """Trim, and turn null-like words into null, in whichever case they are written.
+
+    The words are searched in a constant array: unlike a list of comparisons this is a
+    short loop in the generated code, which keeps tables of many text columns compilable.
+    """
     trimmed = F.trim(text)
-    return keep_if(trimmed, ~F.upper(trimmed).isin(*NULL_WORDS))
+    null_words = F.array(*[F.lit(word) for word in NULL_WORDS])
+    return keep_if(trimmed, ~F.array_contains(null_words, F.upper(trimmed)))
 
 
-def parse_int(text: Column) -> Column:
+def amount_text(text: Column) -> Column:
+    """Cleaned amount without currency signs and blanks."""
+    return F.translate(clean_text(text), CURRENCY_SIGNS + BLANKS, "")
+
+
+# ``to_*`` work on text that is clean already. Jobs clean all columns in one projection
+# and convert in the next, so that no clean value is computed more than once.
+
+
+def to_int(value: Column) -> Column:
     """Integer value; a fractional part is cut off (``12.7`` is 12), other text is null."""
-    value = clean_text(text)
     whole = F.regexp_extract(value, r"^([+-]?\d+)\.\d*$", 1).try_cast("int")
     return F.coalesce(value.try_cast("int"), keep_if(whole, F.contains(value, F.lit("."))))
 
 
-def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
-    """Amount without currency signs or blanks.
+def to_decimal(amount: Column, precision: int = 12, scale: int = 2) -> Column:
+    """Number from an amount text.
 
     A comma is the decimal separator when the text has no point, otherwise it groups
     thousands. ``1,234`` is therefore 1.23 and ``1,234,567`` is null.
     """
-    bare = F.translate(clean_text(text), CURRENCY_SIGNS + BLANKS, "")
-    decimal_comma = F.contains(bare, F.lit(",")) & ~F.contains(bare, F.lit("."))
-    plain = F.translate(bare, ",", ".")
-    grouped = F.translate(bare, ",", "")
+    decimal_comma = F.contains(amount, F.lit(",")) & ~F.contains(amount, F.lit("."))
+    plain = F.translate(amount, ",", ".")
+    grouped = F.translate(amount, ",", "")
     return F.when(decimal_comma, plain).otherwise(grouped).try_cast(f"decimal({precision},{scale})")
 
 
-def parse_date(text: Column, formats: tuple[str, ...]) -> Column:
+def to_date(value: Column, formats: tuple[str, ...]) -> Column:
     """Date by the first format that fits.
 
     Formats are made of ``yyyy``, ``MM``, ``dd`` and separators. A value is only parsed by
     a format of its own shape: a failed parse costs many times a shape test.
     """
-    value = clean_text(text)
     return F.coalesce(*[
         F.try_to_date(keep_if(value, value.rlike(f"^{re.sub('[yMd]', '[0-9]', fmt)}$")), fmt)
         for fmt in formats
     ])
 
 
-def parse_boolean(text: Column) -> Column:
-    word = F.lower(clean_text(text))
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+def to_boolean(value: Column) -> Column:
+    meaning = {word: flag for flag, known in ((True, TRUE_WORDS), (False, FALSE_WORDS)) for word in known}
+    pairs = [F.lit(v) for pair in meaning.items() for v in pair]
+    return F.try_element_at(F.create_map(*pairs), F.lower(value))
 
 
-def parse_email(text: Column) -> Column:
-    address = F.lower(clean_text(text))
-    return keep_if(address, address.rlike(EMAIL_FORMAT))
+def to_email(value: Column) -> Column:
+    return keep_if(F.lower(value), F.lower(value).rlike(EMAIL_FORMAT))
 
 
-def parse_phone(text: Column) -> Column:
+def to_phone(value: Column) -> Column:
     """Ten-digit number as ``ddd-ddd-dddd``; a leading country digit 1 is dropped."""
-    digits = F.regexp_replace(clean_text(text), r"\D", "")
+    digits = F.regexp_replace(value, r"\D", "")
     parts = r"^1?(\d{3})(\d{3})(\d{4})$"
     return keep_if(F.regexp_replace(digits, parts, "$1-$2-$3"), digits.rlike(parts))
 
 
-def parse_country(text: Column) -> Column:
-    value = clean_text(text)
+def to_country(value: Column) -> Column:
     letters = F.upper(F.regexp_replace(value, "[^A-Za-z]", ""))
     return canonical(letters, COUNTRIES, F.upper(value))
 
 
-def parse_state(text: Column) -> Column:
-    value = F.upper(clean_text(text))
-    return canonical(value, STATES, value)
+def to_state(value: Column) -> Column:
+    return canonical(F.upper(value), STATES, F.upper(value))
 
 
-def parse_name(text: Column) -> Column:
+def to_name(value: Column) -> Column:
     """Capitalize each word."""
-    return F.initcap(F.lower(clean_text(text)))
+    return F.initcap(F.lower(value))
 
 
-def parse_loyalty(text: Column) -> Column:
-    points = parse_int(text)
+def to_brand(value: Column) -> Column:
+    """Brand as written, except for the one that is always upper case."""
+    return F.when(F.upper(value) == "IKEA", "IKEA").otherwise(value)
+
+
+def to_payment(value: Column) -> Column:
+    """Canonical payment method; missing is ``Unknown``, others are capitalized."""
+    key = F.lower(F.translate(value, BLANKS, ""))
+    return F.coalesce(canonical(key, PAYMENTS, F.initcap(value)), F.lit(UNKNOWN))
+
+
+def to_status(value: Column) -> Column:
+    return F.coalesce(to_name(value), F.lit(UNKNOWN))
+
+
+def limit_loyalty(points: Column) -> Column:
+    """Negative points become zero, impossibly many become null."""
     return keep_if(F.greatest(points, F.lit(0)), points <= MAX_LOYALTY)
 
 
-def parse_product_id(text: Column) -> Column:
-    return F.upper(clean_text(text))
+def or_no_discount(pct: Column) -> Column:
+    """A missing or unreadable discount means none was given."""
+    return F.coalesce(pct, F.lit(0).cast("decimal(5,2)"))
 
 
 def valid_product_id(product_id: Column) -> Column:
     return product_id.rlike(PRODUCT_ID_FORMAT)
 
 
+# ``parse_*`` take raw text: clean it, then convert.
+
+
+def parse_int(text: Column) -> Column:
+    return to_int(clean_text(text))
+
+
+def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
+    return to_decimal(amount_text(text), precision, scale)
+
+
+def parse_date(text: Column, formats: tuple[str, ...]) -> Column:
+    return to_date(clean_text(text), formats)
+
+
+def parse_boolean(text: Column) -> Column:
+    return to_boolean(clean_text(text))
+
+
+def parse_email(text: Column) -> Column:
+    return to_email(clean_text(text))
+
+
+def parse_phone(text: Column) -> Column:
+    return to_phone(clean_text(text))
+
+
+def parse_country(text: Column) -> Column:
+    return to_country(clean_text(text))
+
+
+def parse_state(text: Column) -> Column:
+    return to_state(clean_text(text))
+
+
+def parse_name(text: Column) -> Column:
+    return to_name(clean_text(text))
+
+
 def parse_brand(text: Column) -> Column:
-    """Brand as written, except for the one that is always upper case."""
-    value = clean_text(text)
-    return F.when(F.upper(value) == "IKEA", "IKEA").otherwise(value)
+    return to_brand(clean_text(text))
 
 
 def parse_payment(text: Column) -> Column:
-    """Canonical payment method; missing is ``Unknown``, others are capitalized."""
-    value = clean_text(text)
-    key = F.lower(F.translate(value, BLANKS, ""))
-    return F.coalesce(canonical(key, PAYMENTS, F.initcap(value)), F.lit(UNKNOWN))
+    return to_payment(clean_text(text))
 
 
 def parse_status(text: Column) -> Column:
-    return F.coalesce(parse_name(text), F.lit(UNKNOWN))
+    return to_status(clean_text(text))
+
+
+def parse_loyalty(text: Column) -> Column:
+    return limit_loyalty(parse_int(text))
 
 
 def parse_discount(text: Column) -> Column:
-    """Discount percentage; missing or unreadable means no discount."""
-    return F.coalesce(parse_decimal(text, 5, 2), F.lit(0).cast("decimal(5,2)"))
+    return or_no_discount(parse_decimal(text, 5, 2))
+
+
+def parse_product_id(text: Column) -> Column:
+    return F.upper(clean_text(text))
 
 
 def positive(value: Column) -> Column:

@@ -19,6 +19,9 @@ def get_session(app: str = "loomtable", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Methods above 8000 bytes are never compiled by the JVM, only interpreted; wide
+        # text-cleaning projections then run faster as separate smaller methods.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         **conf,
     }

@@ -21,8 +21,7 @@ def one_file_if_small(df: DataFrame, max_rows: int = SINGLE_FILE_ROWS) -> DataFr
 
     A larger result keeps its partitions and is written as several part files.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return df.coalesce(1) if small else df
+    return df.coalesce(1) if df.count() <= max_rows else df
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -124,6 +124,11 @@ def test_stream_restarts_without_counting_twice(spark, rows, tmp_path):
     stream.run_counts(stream.read_event_stream(spark, source, frame.schema), ["event_type"], out)
     assert rows(spark.read.parquet(f"{out}/counts")) == [("purchase", 1), ("view", 2)]
 
+    # A path pattern finds a table kept as one file or as a folder of files.
+    stream.run_counts(stream.read_event_stream(spark, f"{tmp_path}/i[n]", frame.schema), ["event_type"],
+                      str(tmp_path / "by_pattern"))
+    assert rows(spark.read.parquet(str(tmp_path / "by_pattern/counts"))) == [("purchase", 1), ("view", 2)]
+
     routed = stream.read_event_stream(spark, source, frame.schema).withColumn(
         "channel", stream.channel(F.col("event_type"), ["purchase"]))
     stream.run_routing(routed, str(tmp_path / "routes"))
