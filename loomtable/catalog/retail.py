@@ -95,17 +95,20 @@ def raw_products(spark: SparkSession, sf: str) -> DataFrame:
 
 PRODUCTS_SQL = """
 cp AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY product_name NULLS FIRST,
-      category NULLS FIRST, brand NULLS FIRST, price NULLS FIRST, cost NULLS FIRST,
-      stock_quantity NULLS FIRST, weight_kg NULLS FIRST, created_date NULLS FIRST) AS rn
+  SELECT * EXCLUDE (k, rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY product_name, category_text, brand_text,
+                                 price_text, cost_text, stock_text, k) AS rn
     FROM (
-      SELECT 'P' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS product_id, p_name AS product_name,
-        upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS category,
+      SELECT k, 'P' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS product_id, p_name AS product_name,
+        upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS category, upper(p_type) AS category_text,
         CASE WHEN k % 10 = 0 THEN 'IKEA' ELSE p_brand END AS brand,
+        CASE WHEN k % 10 = 0 THEN 'ikea' ELSE p_brand END AS brand_text,
         CAST(CASE k % 5 WHEN 0 THEN price WHEN 1 THEN price WHEN 4 THEN 1234.50 END AS DECIMAL(12,2)) AS price,
+        [ '$' || price, replace(CAST(price AS VARCHAR), '.', ','), '-5', 'abc', '€ 1,234.50'][k % 5 + 1] AS price_text,
         CAST(CASE k % 3 WHEN 0 THEN round(price * CAST(0.6 AS DECIMAL(2,1)), 2) WHEN 2 THEN 0 END AS DECIMAL(12,2)) AS cost,
+        [CAST(round(price * CAST(0.6 AS DECIMAL(2,1)), 2) AS VARCHAR), '-1', '0'][k % 3 + 1] AS cost_text,
         CAST(CASE WHEN k % 4 = 0 THEN 0 ELSE k % 500 END AS INTEGER) AS stock_quantity,
+        CASE WHEN k % 4 = 0 THEN '-3' ELSE CAST(k % 500 AS VARCHAR) END AS stock_text,
         CAST(CASE k % 3 WHEN 0 THEN 1.235 END AS DECIMAL(8,3)) AS weight_kg,
         CASE WHEN k % 3 < 2 THEN DATE '2021-01-01' + CAST(k % 700 AS INTEGER) END AS created_date,
         k % 2 = 0 AS is_active
@@ -113,6 +116,9 @@ cp AS (
       WHERE k % 17 <> 0))
   WHERE rn = 1)
 """
+PRODUCT_COLUMNS = (
+    "product_id, product_name, category, brand, price, cost, stock_quantity, weight_kg, created_date, is_active"
+)
 
 
 def raw_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,28 +151,37 @@ def raw_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 ORDERS_SQL = """
 co AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY customer_id NULLS FIRST, product_id,
-      order_date NULLS FIRST, ship_date NULLS FIRST, quantity NULLS FIRST, unit_price, discount_pct,
-      source_total_amount NULLS FIRST, payment_method, order_status) AS rn
+  SELECT * EXCLUDE (rn, customer_text, date_text, ship_text, quantity_text, price_text, discount_text, total_text)
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY customer_text, product_id, date_text, ship_text,
+                                 quantity_text, price_text, discount_text, total_text) AS rn
     FROM (
       SELECT CAST(CASE WHEN k % 29 <> 0 THEN k END AS INTEGER) AS order_id,
         CAST(CASE WHEN k % 31 <> 0 THEN o_custkey END AS INTEGER) AS customer_id,
+        CASE WHEN k % 31 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS customer_text,
         'P' || lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') AS product_id,
         CASE WHEN k % 37 <> 0 THEN CAST(o_orderdate AS DATE) END AS order_date,
+        CASE WHEN k % 37 = 0 THEN '15-30-2023' WHEN k % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+             WHEN k % 3 = 1 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%m-%d-%Y') END AS date_text,
         CASE WHEN k % 5 <> 0 THEN CAST(l_shipdate AS DATE) END AS ship_date,
+        CASE WHEN k % 5 = 0 THEN 'null' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS ship_text,
         CAST(CASE WHEN k % 41 = 0 THEN 1000 WHEN k % 43 <> 0 THEN qty END AS INTEGER) AS quantity,
+        CASE WHEN k % 41 = 0 THEN '1000' WHEN k % 43 = 0 THEN 'two' ELSE CAST(qty AS VARCHAR) END AS quantity_text,
         price AS unit_price,
+        CASE WHEN k % 2 = 0 THEN '$' || price ELSE replace(CAST(price AS VARCHAR), '.', ',') END AS price_text,
         CAST(CASE WHEN k % 7 = 0 THEN 0 WHEN k % 47 = 0 THEN 150 ELSE pct END AS DECIMAL(5,2)) AS discount_pct,
-        CASE WHEN k % 3 <> 0 THEN CAST(round(CAST(qty * price AS DECIMAL(18,2))
-          * CAST((100 - pct) * 0.01 AS DECIMAL(5,2)), 2) AS DECIMAL(12,2)) END AS source_total_amount,
+        CASE WHEN k % 7 = 0 THEN '' WHEN k % 47 = 0 THEN '150' ELSE CAST(pct AS VARCHAR) END AS discount_text,
+        CASE WHEN k % 3 <> 0 THEN total END AS source_total_amount,
+        CASE WHEN k % 3 = 0 THEN '' ELSE CAST(total AS VARCHAR) END AS total_text,
         ['Credit Card', 'Credit Card', 'Debit Card', 'PayPal', 'Apple Pay', 'Google Pay', 'Cash',
          'Unknown', 'Gift Card'][k % 9 + 1] AS payment_method,
         ['Shipped', 'Pending', 'Unknown', 'On Hold'][k % 4 + 1] AS order_status
-      FROM (SELECT *, l_orderkey AS k, CAST(l_quantity AS INTEGER) AS qty,
-                   CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
-                   CAST(round(l_discount * 100) AS INTEGER) AS pct
-            FROM lineitem JOIN orders ON l_orderkey = o_orderkey)))
+      FROM (SELECT *, CAST(round(CAST(qty * price AS DECIMAL(18,2)) * CAST((100 - pct) * 0.01 AS DECIMAL(5,2)), 2)
+                      AS DECIMAL(12,2)) AS total
+            FROM (SELECT *, l_orderkey AS k, CAST(l_quantity AS INTEGER) AS qty,
+                         CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
+                         CAST(round(l_discount * 100) AS INTEGER) AS pct
+                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey))))
   WHERE rn = 1)
 """
 FACTS_SQL = """
@@ -203,7 +218,10 @@ def clean_customers(spark, sf):
     return retail.clean_customers(raw_customers(spark, sf))
 
 
-@query(f"WITH {PRODUCTS_SQL} SELECT * {doubles('price', 'cost', 'weight_kg')} FROM cp")
+@query(f"""
+WITH {PRODUCTS_SQL}
+SELECT * {doubles('price', 'cost', 'weight_kg')} FROM (SELECT {PRODUCT_COLUMNS} FROM cp)
+""")
 def clean_products(spark, sf):
     return plain(retail.clean_products(raw_products(spark, sf)))
 
