@@ -225,10 +225,10 @@ WITH {RATINGS_SQL}
 SELECT CASE WHEN a.i = 42 THEN b.i ELSE a.i END AS other_item, count(*) AS num_pairs
 FROM r a JOIN r b ON a.u = b.u AND a.i < b.i
 WHERE (a.i = 42 OR b.i = 42)
-GROUP BY 1 HAVING count(*) >= 2
+GROUP BY 1
 """)
 def other_side_of_pairs(spark, sf):
-    pairs = item_similarity(ratings(spark, sf), "l_orderkey", "l_partkey", "rating", min_pairs=2)
+    pairs = item_similarity(ratings(spark, sf), "l_orderkey", "l_partkey", "rating")
     one = F.lit(42)
     return pairs.filter((F.col("item1") == one) | (F.col("item2") == one)).select(
         joins.other_side("item1", "item2", one).alias("other_item"), "num_pairs"

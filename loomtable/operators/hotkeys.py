@@ -60,7 +60,8 @@ def isolate_hot(
     plan stays as it is.
     """
     hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
+    found = hot.count()
+    if not found:
         return df, None
-    few = F.broadcast(hot)  # at most total_rows / hot_rows keys
+    few = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
     return match(df, few, keys, "left_anti"), match(df, few, keys, "left_semi")
