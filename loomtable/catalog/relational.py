@@ -44,17 +44,17 @@ def projection_filter(spark, sf):
 
 
 @query("""
-SELECT p_partkey AS value, p_partkey * p_partkey AS squared, 'num_' || p_partkey AS prefixed,
+SELECT p_partkey, p_size AS value, p_size * p_size AS squared, 'num_' || p_size AS prefixed,
        length(p_name) AS name_length, upper(p_name) AS upper_name
-FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 5
+FROM part WHERE p_size % 2 = 0 AND p_size > 5
 """)
 def numbers_chain(spark, sf):
     value = F.col("value")
     return (
-        table(spark, sf, "part").select(F.col("p_partkey").alias("value"), "p_name")
+        table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value"), "p_name")
         .filter((value % 2 == 0) & (value > 5))
         .select(
-            "value", (value * value).alias("squared"),
+            "p_partkey", "value", (value * value).alias("squared"),
             F.concat(F.lit("num_"), value.cast("string")).alias("prefixed"),
             F.length("p_name").cast("bigint").alias("name_length"),
             F.upper("p_name").alias("upper_name"),

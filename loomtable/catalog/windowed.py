@@ -46,7 +46,7 @@ WHERE d = 1
 """)
 def top_with_ties(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
-    return windows.top_with_ties(lines, ["l_partkey"], [F.desc("l_quantity")])
+    return windows.top_with_ties(lines, ["l_partkey"], "l_quantity")
 
 
 @query("""

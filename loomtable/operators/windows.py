@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtable.functions.times import day_number, epoch_seconds
-from loomtable.operators.hotkeys import HOT_ROWS, isolate_hot, match
+from loomtable.operators.hotkeys import HOT_ROWS, broadcast_if_small, isolate_hot, match
 
 BLOCK = "_block"
 
@@ -42,10 +42,21 @@ def top_n_per_group(
     return kept if position else kept.drop(rank)
 
 
-def top_with_ties(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """All rows sharing the first place of their group; losers are cut before the shuffle."""
-    first = F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", first).filter(F.col("_place") == 1).drop("_place")
+def top_with_ties(
+    df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All rows that share the largest value of their group (nulls come last).
+
+    Losers are cut before the shuffle. Ties of a hot key are not gathered at all: its rows
+    are matched where they are with the largest value of their key.
+    """
+    cold, hot = isolate_hot(df, keys, hot_rows)
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(value)))
+    plain = cold.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+    if hot is None:
+        return plain
+    best = broadcast_if_small(hot.groupBy(*keys).agg(F.max(value).alias(value)))
+    return plain.unionByName(match(hot, best, [*keys, value], "left_semi"))
 
 
 def dedupe_by_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:

@@ -101,6 +101,17 @@ def test_ranks(events, rows):
         ["id", "row_number", "rank", "dense_rank"])
 
 
+def test_ties(events, rows):
+    want = []
+    for user in {r.user for r in events.collect()}:
+        group = [r for r in events.collect() if r.user == user]
+        top = max((r.value for r in group if r.value is not None), default=None)
+        want += [(r.id, r.value) for r in group if r.value == top]
+    for hot in (1, 50, 10**9):
+        got = rows(windows.top_with_ties(events, ["user"], "value", hot), "id", "value")
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_rolling(events, rows):
     got = {r.id: r.rolling_average for r in windows.rolling_days(events, ["user"], "ts", "value", 3).collect()}
     data = events.collect()
