@@ -81,9 +81,10 @@ def item_similarity(
     ``num_pairs`` for pairs with at least ``min_pairs`` common users and, if given, a
     score above ``min_score``.
 
-    Users with up to ``hot_items`` items are paired by a self-join. Busier users are not:
-    their share is added only for pairs that other users already produced, or that could
-    reach ``min_pairs`` through busy users alone. The result is exact either way.
+    Users with up to ``hot_items`` items are paired by a self-join. The share of busier users
+    is added only to pairs that other users already produced, or that could reach
+    ``min_pairs`` through busy users alone; finding the latter pairs the fewest items it can
+    and spreads them over tasks. The result is exact either way.
     """
     ratings = df.select(
         F.col(user).alias("_user"), F.col(item).alias("_item"),
