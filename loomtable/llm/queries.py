@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lines, packing, repetition, sharding, simhash, toxicity
+from . import decontamination, language_model, lines, packing, pii, repetition, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +99,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    counts = [F.size(F.array_remove(F.transform("base", lambda x: x["kind"]), i)) for i in range(len(pii.KINDS))]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for n, k in zip(counts, pii.KINDS, strict=True)]
+    return out.select("row.doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+                      pii.written(F.col("spans")).alias("spans"))
+
+
+@query()
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_model.score_texts(docs, "text", id_crc(F.col("doc_id")) % 10 == 0, ["doc_id"])
+    return out.select("row.doc_id", "held_out", *[f"out.{c}" for c in (
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")])
+
+
 @query()
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.repetition_rules(table(spark, sf_dir, "documents"), "text", ["doc_id"])
