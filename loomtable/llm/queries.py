@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, lines, packing, pii, repetition, sharding, simhash, toxicity
+from . import decontamination, language_model, lines, packing, pages, pii, repetition, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,6 +146,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.col("kept_text").alias("text"), "n_lines", "n_dropped")
 
 
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.main_texts(table(spark, sf_dir, "pages"), "url", "html", ["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", "n_chars")
+
+
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
