@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 
 from .shared import rows_with
 
-#: Highest share of word characters inside repeated n-grams, by n, for a text to be kept.
-LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Highest share of word characters inside repeated n-grams, by n, for a text to be kept. The first occurrence counts
+#: too, so the limits are twice those usual for the later ones alone.
+LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: Most symbols for each word.
+SYMBOL_LIMIT = 0.2
 #: Highest share of lines, and of their characters, that equal an earlier line.
 LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
 
@@ -98,10 +101,12 @@ def measure(text: bytes | None, lengths: tuple[int, ...] = tuple(LIMITS)) -> dic
         seen.add(line)
     n_words = len(words)
     failed = n_words < 50 or 100 * repeats > 50 * n_words
-    kept = not failed and all(coverage.get(n, 0.0) <= LIMITS.get(n, 1.0) for n in lengths)
+    symbols = len(data.translate(None, _NOT_SYMBOLS))
+    kept = not failed and symbols <= SYMBOL_LIMIT * n_words and all(
+        coverage.get(n, 0.0) <= LIMITS.get(n, 1.0) for n in lengths)
     kept = kept and dup <= LINE_LIMIT * len(lines) and dup_chars <= LINE_CHAR_LIMIT * line_chars
     return {
-        "n_words": n_words, "word_chars": total, "n_symbols": len(data.translate(None, _NOT_SYMBOLS)),
+        "n_words": n_words, "word_chars": total, "n_symbols": symbols,
         "n_dup_lines": dup, "n_repeat_words": repeats, "n_lines": len(lines), "dup_line_chars": dup_chars,
         "coverage": list(coverage.items()), "base_failed": failed, "kept": kept,
     }
