@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .shared import SLICE_BYTES, _arrow_type, materialize
+from .shared import SLICE_BYTES, _arrow_type
 
-BLOCK_BYTES, RANGE_BYTES = 12_000_000, 24_000_000
+BLOCK_BYTES, RANGE_BYTES = 8_000_000, 6_000_000
 #: Added to each token's count, and the mass that smoothing takes from a state's arcs.
 ALPHA, MASS = 0.1, 20.0
 
@@ -51,9 +51,13 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+#: Words whose hashes a worker remembers.
+MAX_HASHES = 300_000
+
+
 def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then one end for each text) and the number of each text's tokens."""
-    if len(_HASHES) > 1_000_000:
+    if len(_HASHES) > MAX_HASHES:
         _HASHES.clear()
     get, parts, sizes = _HASHES.__getitem__, [], []
     end = np.array([_END], np.uint64)
@@ -195,18 +199,20 @@ def score_texts(docs: DataFrame, text: str, held_out: Column, keep: list[str], m
     size = src.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, ranges = int(size // BLOCK_BYTES) + 1, int(size // RANGE_BYTES) + 8
     src = src.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)))
-    asked = src.select("text", "held_out", "block").groupBy("block").applyInArrow(
-        _ask(ranges), "range long, block long, keys binary, counts binary")
+    # The documents by block are needed twice, by the same exchange, which Spark reuses.
+    asked = src.groupBy("block").applyInArrow(_ask(ranges), "range long, block long, keys binary, counts binary")
     answered = asked.groupBy("range").applyInArrow(
         _answer, "range long, block long, totals binary, tokens long, types long")
-    answered = materialize(answered, "ngram-totals")
-    n, v = answered.select(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    sums = answered.filter("block < 0").agg(F.struct(
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types"))).scalar()
+    answers = answered.filter("block >= 0").select("range", "block", "totals", sums.alias("all"))
     schema = StructType([src.schema["row"], src.schema["held_out"], StructField("out", _parse_datatype_string(FIELDS))])
     kind = _arrow_type(schema["out"].dataType)
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("range").to_numpy())
         totals = right.column("totals").to_pylist()
+        n, v = right.column("all")[0].as_py().values()
         totals = [_unpack(totals[i], np.int64) for i in order]
         out, held, rows, keys = [], [], [], []
         for texts, _, _ in _parts(left):
@@ -225,5 +231,4 @@ def score_texts(docs: DataFrame, text: str, held_out: Column, keep: list[str], m
         return pa.Table.from_arrays([pa.chunked_array(chunks), pa.array(held), pa.array(out, kind)],
                                     ["row", "held_out", "out"])
 
-    answers = answered.filter("block >= 0").select("range", "block", "totals")
     return src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(read, schema)
