@@ -14,9 +14,11 @@ pieces, and a hot length is no heavier than others.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ CAPACITY = 4096
 #: Fillings looked at for one sequence, and descents tried after the first.
 MAX_NODES, MAX_DESCENTS = 4000, 24
 #: Chunks of text (between blanks) whose ids a worker remembers.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 700_000
 
 
 @dataclass
@@ -177,13 +179,13 @@ class Encoder:
         if len(self.known) > MAX_CHUNKS:
             self.known.clear()
         known = self.known
-        new = list({w for p in parts for w in p if w not in known})
+        new = list(set(chain.from_iterable(parts)).difference(known))
         for i in range(0, len(new), 20_000):
             some = new[i: i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         last = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in p]) + last, "<u4") for p in parts]
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)) + last, "<u4") for p in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
