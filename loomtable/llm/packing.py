@@ -34,7 +34,7 @@ CAPACITY = 4096
 #: Fillings looked at for one sequence, and descents tried after the first.
 MAX_NODES, MAX_DESCENTS = 4000, 24
 #: Chunks of text (between blanks) whose ids a worker remembers.
-MAX_CHUNKS = 700_000
+MAX_CHUNKS = 450_000
 
 
 @dataclass
