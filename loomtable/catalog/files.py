@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtable import sinks
 from loomtable.catalog import money, plain, query, table
-from loomtable.catalog.retail import ALL_SQL, doubles, raw_tables
+from loomtable.catalog.retail import ALL_SQL, PRODUCT_IDS, doubles, raw_tables
 from loomtable.plans import etl, movies, retail, spend
 from loomtable.schemas import INT, LONG, REAL, SALES_FILE, TEXT, columns
 from loomtable.session import scratch_path
@@ -175,7 +175,7 @@ def table_reload(spark, sf):
     curated, warehouse = f"loom_curated_{run_id}", f"loom_warehouse_{run_id}"
     sinks.create_database(spark, curated, f"{base}/curated")
     sinks.create_database(spark, warehouse, f"{base}/warehouse")
-    retail.run(raw, curated, f"{base}/export")
+    retail.run(raw, curated, f"{base}/export", product_ids=PRODUCT_IDS)
     tables = retail.load_exports(spark, f"{base}/export", warehouse)
     return plain(spark.table(tables["fact_orders"]))
 

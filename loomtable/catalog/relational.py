@@ -62,13 +62,13 @@ def numbers_chain(spark, sf):
     )
 
 
-@query(f"""
+@query("""
 SELECT c_custkey, c_name, o_custkey, o_orderkey, o_totalprice
-FROM customer JOIN {URGENT_SQL} o ON c_custkey = o_custkey
+FROM customer JOIN orders o ON c_custkey = o_custkey
 """)
 def inner_join(spark, sf):
     customer = table(spark, sf, "customer").select("c_custkey", "c_name")
-    orders = urgent_orders(spark, sf).select("o_custkey", "o_orderkey", "o_totalprice")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return joins.inner_on(customer, orders, "c_custkey", "o_custkey")
 
 

@@ -57,7 +57,7 @@ def raw_customers(spark: SparkSession, sf: str) -> DataFrame:
 
 CUSTOMERS_SQL = """
 cc AS (
-  SELECT CAST(k AS INTEGER) AS customer_id,
+  SELECT CAST(k AS BIGINT) AS customer_id,
     upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS first_name,
     CASE WHEN k % 9 <> 0 THEN upper(left(c_name, 1)) || lower(substr(c_name, 2)) END AS last_name,
     CASE k % 4 WHEN 0 THEN 'user' || k || '@example.com' WHEN 3 THEN 'u.' || k || '+x@mail.example.org' END AS email,
@@ -73,11 +73,19 @@ cc AS (
 """
 
 
+#: Product ids here have four digits or more, so that every part has one of its own.
+PRODUCT_IDS = r"^P\d{4,}$"
+
+
+def part_number(key: Column) -> Column:
+    return F.when(key < 1000, F.lpad(text(key), 4, "0")).otherwise(text(key))
+
+
 def raw_products(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     price = F.col("p_retailprice").cast("decimal(12,2)")
     day = F.date_add(F.to_date(F.lit("2021-01-01")), F.pmod(k, F.lit(700)).cast("int"))
-    number = F.lpad(text(F.pmod(k, F.lit(10000))), 4, "0")
+    number = part_number(k)
     return table(spark, sf, "part").select(
         F.when(k % 17 == 0, F.concat(F.lit("X"), text(k))).otherwise(F.concat(F.lit(" p"), number)).alias("product_id"),
         F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("product_name"),
@@ -99,7 +107,7 @@ cp AS (
     SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY product_name, category_text, brand_text,
                                  price_text, cost_text, stock_text, k) AS rn
     FROM (
-      SELECT k, 'P' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS product_id, p_name AS product_name,
+      SELECT k, 'P' || lpad(CAST(k AS VARCHAR), greatest(4, length(CAST(k AS VARCHAR)))::INTEGER, '0') AS product_id, p_name AS product_name,
         upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS category, upper(p_type) AS category_text,
         CASE WHEN k % 10 = 0 THEN 'IKEA' ELSE p_brand END AS brand,
         CASE WHEN k % 10 = 0 THEN 'ikea' ELSE p_brand END AS brand_text,
@@ -133,7 +141,7 @@ def raw_orders(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(
         F.when(k % 29 == 0, "XYZ").otherwise(text(k)).alias("order_id"),
         F.when(k % 31 == 0, "").otherwise(text(F.col("o_custkey"))).alias("customer_id"),
-        F.concat(F.lit("p"), F.lpad(text(F.pmod("l_partkey", F.lit(10000))), 4, "0")).alias("product_id"),
+        F.concat(F.lit("p"), part_number(F.col("l_partkey"))).alias("product_id"),
         F.when(k % 37 == 0, "15-30-2023").otherwise(pick(
             k, F.date_format(date, "yyyy-MM-dd"), F.date_format(date, "yyyy/MM/dd"),
             F.date_format(date, "MM-dd-yyyy"),
@@ -156,10 +164,10 @@ co AS (
     SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY customer_text, product_id, date_text, ship_text,
                                  quantity_text, price_text, discount_text, total_text) AS rn
     FROM (
-      SELECT CAST(CASE WHEN k % 29 <> 0 THEN k END AS INTEGER) AS order_id,
-        CAST(CASE WHEN k % 31 <> 0 THEN o_custkey END AS INTEGER) AS customer_id,
+      SELECT CAST(CASE WHEN k % 29 <> 0 THEN k END AS BIGINT) AS order_id,
+        CAST(CASE WHEN k % 31 <> 0 THEN o_custkey END AS BIGINT) AS customer_id,
         CASE WHEN k % 31 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS customer_text,
-        'P' || lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') AS product_id,
+        'P' || lpad(CAST(l_partkey AS VARCHAR), greatest(4, length(CAST(l_partkey AS VARCHAR)))::INTEGER, '0') AS product_id,
         CASE WHEN k % 37 <> 0 THEN CAST(o_orderdate AS DATE) END AS order_date,
         CASE WHEN k % 37 = 0 THEN '15-30-2023' WHEN k % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
              WHEN k % 3 = 1 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%m-%d-%Y') END AS date_text,
@@ -223,7 +231,7 @@ WITH {PRODUCTS_SQL}
 SELECT * {doubles('price', 'cost', 'weight_kg')} FROM (SELECT {PRODUCT_COLUMNS} FROM cp)
 """)
 def clean_products(spark, sf):
-    return plain(retail.clean_products(raw_products(spark, sf)))
+    return plain(retail.clean_products(raw_products(spark, sf), PRODUCT_IDS))
 
 
 @query(f"WITH {ORDERS_SQL} SELECT * {doubles('unit_price', 'discount_pct', 'source_total_amount')} FROM co")
@@ -237,7 +245,7 @@ SELECT * {doubles('unit_price', 'discount_pct', 'source_total_amount', 'calculat
                   'amount_difference')} FROM cf
 """)
 def retail_fact_orders(spark, sf):
-    return plain(retail.curate(raw_tables(spark, sf))["orders"])
+    return plain(retail.curate(raw_tables(spark, sf), PRODUCT_IDS)["orders"])
 
 
 @query(f"""
@@ -255,7 +263,7 @@ SELECT order_id, order_date, strftime(order_date, '%Y-%m') AS order_month, ship_
 FROM cf JOIN cc USING (customer_id) JOIN cp USING (product_id)
 """)
 def retail_sales_enriched(spark, sf):
-    return plain(retail.curate(raw_tables(spark, sf))["sales_enriched"])
+    return plain(retail.curate(raw_tables(spark, sf), PRODUCT_IDS)["sales_enriched"])
 
 
 @query(f"""
@@ -269,4 +277,4 @@ SELECT dataset, CAST(s AS BIGINT) AS source_record_count, t AS target_record_cou
        CAST(s - t AS BIGINT) AS removed_record_count FROM n
 """)
 def retail_dq_summary(spark, sf):
-    return retail.curate(raw_tables(spark, sf))["data_quality_summary"]
+    return retail.curate(raw_tables(spark, sf), PRODUCT_IDS)["data_quality_summary"]

@@ -117,7 +117,7 @@ s AS (SELECT event_id, user_id,
              CAST(sum(CASE WHEN gap IS NULL OR gap > 1800 THEN 1 ELSE 0 END)
                   OVER (PARTITION BY user_id ORDER BY sec) AS BIGINT) AS session_number FROM g)
 SELECT event_id, user_id, session_number,
-       user_id || '_' || lpad(CAST(session_number AS VARCHAR), 3, '0') AS session_id
+       user_id || '_' || lpad(CAST(session_number AS VARCHAR), greatest(3, length(CAST(session_number AS VARCHAR)))::INTEGER, '0') AS session_id
 FROM s
 """)
 def sessionize(spark, sf):

@@ -84,6 +84,12 @@ def to_int(value: Column) -> Column:
     return F.coalesce(value.try_cast("int"), keep_if(whole, F.contains(value, F.lit("."))))
 
 
+def to_long(value: Column) -> Column:
+    """64-bit id by the rule of :func:`to_int`."""
+    whole = F.regexp_extract(value, r"^([+-]?\d+)\.\d*$", 1).try_cast("long")
+    return F.coalesce(value.try_cast("long"), keep_if(whole, F.contains(value, F.lit("."))))
+
+
 def to_decimal(amount: Column, precision: int = 12, scale: int = 2) -> Column:
     """Number from an amount text.
 
@@ -164,8 +170,8 @@ def or_no_discount(pct: Column) -> Column:
     return F.coalesce(pct, F.lit(0).cast("decimal(5,2)"))
 
 
-def valid_product_id(product_id: Column) -> Column:
-    return product_id.rlike(PRODUCT_ID_FORMAT)
+def valid_product_id(product_id: Column, pattern: str = PRODUCT_ID_FORMAT) -> Column:
+    return product_id.rlike(pattern)
 
 
 # ``parse_*`` take raw text: clean it, then convert.
@@ -175,6 +181,10 @@ def parse_int(text: Column) -> Column:
     return to_int(clean_text(text))
 
 
+def parse_id(text: Column) -> Column:
+    return to_long(clean_text(text))
+
+
 def parse_decimal(text: Column, precision: int = 12, scale: int = 2) -> Column:
     return to_decimal(amount_text(text), precision, scale)
 

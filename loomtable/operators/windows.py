@@ -255,7 +255,8 @@ def sessionize(
         result = _combine(
             result, blocked.withColumn("session_number", F.col("_offset") + F.col("_breaks"))
         )
-    padded = F.lpad(F.col("session_number").cast("string"), 3, "0")
+    number = F.col("session_number").cast("string")
+    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return result.withColumn(
         "session_id", F.concat_ws("_", F.col(user).cast("string"), padded)
     ).drop("_sec", "_breaks")

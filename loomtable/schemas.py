@@ -59,7 +59,7 @@ RAW_CUSTOMERS = strings(
 )
 
 DIM_CUSTOMERS = columns(
-    customer_id=INT, first_name=TEXT, last_name=TEXT, email=TEXT, phone=TEXT,
+    customer_id=LONG, first_name=TEXT, last_name=TEXT, email=TEXT, phone=TEXT,
     signup_date=DATE, country=TEXT, state=TEXT, postal_code=TEXT,
     is_active=FLAG, loyalty_points=INT,
 )
@@ -69,7 +69,7 @@ DIM_PRODUCTS = columns(
     weight_kg=DecimalType(8, 3), created_date=DATE, is_active=FLAG,
 )
 FACT_ORDERS = columns(
-    order_id=INT, customer_id=INT, product_id=TEXT, order_date=DATE, ship_date=DATE,
+    order_id=LONG, customer_id=LONG, product_id=TEXT, order_date=DATE, ship_date=DATE,
     quantity=INT, unit_price=DecimalType(12, 2), discount_pct=DecimalType(5, 2),
     source_total_amount=DecimalType(12, 2), calculated_total_amount=DecimalType(14, 2),
     amount_difference=DecimalType(14, 2), payment_method=TEXT, order_status=TEXT,

@@ -31,11 +31,13 @@ def get_session(app: str = "loomtable", master: str | None = None, **conf: str)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, else a local test folder."""
+    """Folder every executor can reach: the one the cluster names, else one of a local session only."""
     global _LOCAL_SCRATCH
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = os.path.join(tempfile.gettempdir(), f"loomtable-{uuid.uuid4().hex}")
     return _LOCAL_SCRATCH
