@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores),
-BENCH_RUNS (timed runs per query after one warm-up, default 1; the median is reported),
+BENCH_RUNS (timed runs per query after one warm-up, default 3; the median is reported),
 BENCH_ONLY (comma-separated query names, or ``all`` for every registered query).
 """
 
@@ -37,7 +37,7 @@ def timed(run, spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     catalog.load()
     chosen = [name for name in os.environ.get("BENCH_ONLY", "").split(",") if name] or HEADLINE
     names = list(catalog.QUERIES) if chosen == ["all"] else chosen

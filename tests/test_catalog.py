@@ -28,5 +28,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 
 def test_contract(spark):
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() == 10
