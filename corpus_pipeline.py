@@ -14,8 +14,11 @@ from loomtable.llm import decontamination, lines, packing, simhash, toxicity
 from loomtable.llm.queries import id_crc, table, tokenizer_path
 from loomtable.llm.shared import materialize
 
-#: Differing bits that link two documents, and the parts that fingerprints are cut into to find them.
-RADIUS, BANDS = 6, 8
+#: Differing bits up to which two fingerprints are sure to meet, the parts they are cut into for it, and the bits that
+#: still make a candidate among those that meet.
+RADIUS, BANDS, REACH = 6, 8, 10
+#: Estimated similarity of five-word shingles that links two documents: one standard error below 0.8.
+ALIKE = 0.75
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +37,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id."""
-    return simhash.one_of_each(docs, "text", "doc_id", 3, RADIUS, BANDS)
+    """One document of each group of near duplicates (about 0.8 of five-word shingles) stays: the one of least id."""
+    return simhash.one_of_each(docs, "text", "doc_id", 3, RADIUS, BANDS, REACH, ALIKE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,6 +196,54 @@ def test_near_duplicates_name_least_id_and_keep_one(spark):
     kept = simhash.one_of_each(docs.union(docs), "text", "doc_id")
     assert kept.columns == docs.columns and kept.count() == len(least)
     assert simhash.one_of_each(docs.limit(0), "text", "doc_id").count() == 0
+    assert simhash.one_of_each(docs.limit(0), "text", "doc_id", 3, 6, 8, 10, 0.75).count() == 0
+
+
+def shingle_set(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i: i + size]) for i in range(max(len(w) - size + 1, 1))}
+
+
+def test_signatures_estimate_similarity():
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(25_000)]
+    for share in (0.0, 0.5, 0.8, 0.95):
+        cut = int(len(base) * share)
+        other = base[:cut] + [f"v{rng.randrange(10**6)}" for _ in range(len(base) - cut)]
+        a, b = " ".join(base), " ".join(other)
+        x, y = shingle_set(a), shingle_set(b)
+        got = simhash.similarity(*simhash.signatures([a.encode(), b.encode()], 5))
+        assert abs(got - len(x & y) / len(x | y)) < 0.2
+    short = simhash.signatures([None, b"", b"a b", b"A  B", b"a c", b"a b c d e"], 5)
+    assert short[0] == short[1] != short[2] == short[3] != short[4] != short[5]
+
+
+def test_near_duplicates_need_the_similarity_too(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**9))
+    def words(n):
+        return [f"w{next(fresh)}" for _ in range(n)]
+    texts, group = [], []
+    for g in range(12):
+        base = words(300)
+        texts.append(base), group.append(g)
+        for _ in range(4):
+            near = list(base)
+            for at in rng.sample(range(300), 3):
+                near[at] = f"x{next(fresh)}"
+            texts.append(near), group.append(g)
+    shared = words(200)
+    for g in range(12, 20):  # most of each text is shared, yet the similarity is below 0.8
+        texts.append(words(40) + shared + words(40)), group.append(g)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash.near_duplicates(docs, "text", "doc_id", 3, 6, 8, reach=10, alike=0.75)
+    got = {r["doc_id"]: r["component"] for r in found.select("row.doc_id", "component").collect()}
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    assert got == {i: first[g] for i, g in enumerate(group)}
+    loose = simhash.near_duplicates(docs, "text", "doc_id", 3, 16, 18).select("component").distinct().count()
+    assert loose < 20
 
 
 def test_base_spans_and_redaction(spark):
