@@ -13,6 +13,7 @@ from loomtable.session import scratch_path
 from loomtable.sources import (
     parse_lines,
     read_delimited,
+    read_exported,
     read_inferred,
     read_lines,
     read_quarantined,
@@ -109,7 +110,7 @@ def etl_by_city(spark, sf):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("amount"),
     )
     path = scratch_path(spark, "by-city")
-    etl.write_by_city(etl.enrich(etl.clean_orders(orders), customers), path)
+    etl.write_by(etl.with_labels(etl.usable_orders(orders), customers), path, "city")
     return spark.read.parquet(path)
 
 
@@ -132,12 +133,28 @@ def line_revenue_text(spark, sf):
     return exact.select(spend.revenue_line("price", "quantity", ["product_id", "name"]).alias("value"))
 
 
+@query(r"""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' || text || '  ' WHEN 1 THEN '"a", \b' || chr(13) || chr(10) || text
+                               WHEN 2 THEN '' END AS text, lang
+FROM documents
+""")
+def csv_lossless(spark, sf):
+    """Texts with line breaks, quotes, commas, backslashes and outer blanks, empty and missing ones, out and back."""
+    kind = F.col("doc_id") % 4
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.when(kind == 0, F.concat(F.lit("  "), "text", F.lit("  ")))
+        .when(kind == 1, F.concat(F.lit('"a", \\b\r\n'), "text")).when(kind == 2, F.lit("")).alias("text"), "lang")
+    path = scratch_path(spark, "lossless")
+    sinks.export_csv(docs, path)
+    return read_exported(spark, path, docs.schema)
+
+
 @query("SELECT event_type || ' ' || count(*) AS value FROM events GROUP BY event_type")
 def text_single_file(spark, sf):
     path = scratch_path(spark, "one")
     counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     line = F.concat_ws(" ", "event_type", "n")
-    sinks.write_text(sinks.one_file_if_small(counts), path, line)
+    sinks.write_text(sinks.one_file(counts), path, line)
     return read_lines(spark, path)
 
 
@@ -185,7 +202,7 @@ def event_stream_counts(spark, sf):
     schema = table(spark, sf, "events").schema
     out = scratch_path(spark, "counts")
     stream.run_counts(stream.read_event_stream(spark, f"{sf}/events.parque[t]", schema), ["event_type"], out)
-    return spark.read.parquet(f"{out}/counts")
+    return stream.latest_counts(spark, out)
 
 
 @query("""

@@ -297,13 +297,13 @@ e AS (
 
 def etl_enriched(spark: SparkSession, sf: str) -> DataFrame:
     orders, customers = etl_inputs(spark, sf)
-    cleaned = etl.clean_orders(orders).withColumn("amount", money("amount"))
-    return etl.enrich(cleaned, etl.clean_customers(customers))
+    usable = etl.usable_orders(orders).withColumn("amount", money("amount"))
+    return etl.with_labels(usable, etl.usable_customers(customers))
 
 
 @query(f"WITH {ETL_SQL} SELECT city, CAST(sum(amount) AS DOUBLE) AS total_sales FROM e GROUP BY city")
 def etl_city_totals(spark, sf):
-    return plain(etl.sales_by_city(etl_enriched(spark, sf)))
+    return plain(etl.report(etl_enriched(spark, sf), ["city"], "amount", "total_sales"))
 
 
 @query(f"""
@@ -312,7 +312,7 @@ SELECT segment, round(CAST(sum(amount) AS DOUBLE) / count(*), 3) AS average_orde
 FROM e GROUP BY segment
 """)
 def etl_segment_avg(spark, sf):
-    averages = plain(etl.average_by_segment(etl_enriched(spark, sf)))
+    averages = plain(etl.report(etl_enriched(spark, sf), ["segment"], "amount", "average_order_value", "mean"))
     return averages.withColumn("average_order_value", F.round("average_order_value", 3))
 
 
@@ -322,7 +322,7 @@ SELECT customer_id, CAST(sum(amount) AS DOUBLE) AS total_spend FROM e GROUP BY c
 ORDER BY 2 DESC, 1 LIMIT 3
 """)
 def etl_top3(spark, sf):
-    return plain(etl.top_customers(etl_enriched(spark, sf)))
+    return plain(etl.report(etl_enriched(spark, sf), ["customer_id"], "amount", "total_spend", n=3))
 
 
 @query(f"""
@@ -333,4 +333,6 @@ SELECT city, customer_id, CAST(total AS DOUBLE) AS total_spend, CAST(rn AS INTEG
 FROM r WHERE rn <= 3
 """)
 def etl_top3_per_city(spark, sf):
-    return plain(etl.top_customers_per_city(etl_enriched(spark, sf)))
+    leaders = etl.report(etl_enriched(spark, sf), ["city", "customer_id"], "amount", "total_spend", n=3,
+                         within=["city"], position="spending_position")
+    return plain(leaders)

@@ -228,11 +228,11 @@ WHERE (a.i = 42 OR b.i = 42)
 GROUP BY 1
 """)
 def other_side_of_pairs(spark, sf):
-    pairs = item_similarity(ratings(spark, sf), "l_orderkey", "l_partkey", "rating")
     one = F.lit(42)
-    return pairs.filter((F.col("item1") == one) | (F.col("item2") == one)).select(
-        joins.other_side("item1", "item2", one).alias("other_item"), "num_pairs"
-    )
+    found = similar_items(ratings(spark, sf), "l_orderkey", "l_partkey", "rating", 42)
+    pairs = found.select(F.least("similar_item", one).alias("item1"), F.greatest("similar_item", one).alias("item2"),
+                         "num_pairs")
+    return pairs.select(joins.other_side("item1", "item2", one).alias("other_item"), "num_pairs")
 
 
 def adjacency_lines(spark: SparkSession, sf: str) -> DataFrame:

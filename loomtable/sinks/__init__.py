@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomtable.sources.delimited import read_exported
+
 #: Largest result that may be gathered into one output file.
 SINGLE_FILE_ROWS = 1_000_000
+#: Rows of one exported CSV file, which one task reads back.
+ROWS_PER_FILE = 250_000
 
 
 def write_text(df: DataFrame, path: str, line: Column | None = None) -> None:
@@ -16,12 +19,11 @@ def write_text(df: DataFrame, path: str, line: Column | None = None) -> None:
     out.write.mode("overwrite").text(path)
 
 
-def one_file_if_small(df: DataFrame, max_rows: int = SINGLE_FILE_ROWS) -> DataFrame:
-    """Coalesce to one partition when the row count is checked to be small.
-
-    A larger result keeps its partitions and is written as several part files.
-    """
-    return df.coalesce(1) if df.count() <= max_rows else df
+def one_file(df: DataFrame, max_rows: int = SINGLE_FILE_ROWS) -> DataFrame:
+    """One partition, hence one part file; more than ``max_rows`` rows, too many for one task, are an error."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"one file of more than {max_rows} rows was asked for: write a folder instead")
+    return df.coalesce(1)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -33,9 +35,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Headed CSV export: nulls as empty fields, ISO dates."""
-    out = one_file_if_small(df) if single_file else df
-    out.write.mode("overwrite").csv(path, header=True, nullValue="", dateFormat="yyyy-MM-dd")
+    """Headed CSV export: nulls as empty fields, empty texts as quoted ones, ISO dates, outer blanks kept.
+
+    ``read_exported`` gives the rows back as they were. Quoted line breaks keep a file from being split when it is
+    read, so files are cut at ROWS_PER_FILE rows.
+    """
+    out = one_file(df) if single_file else df
+    out.write.mode("overwrite").option("maxRecordsPerFile", 0 if single_file else ROWS_PER_FILE).csv(
+        path, header=True, nullValue="", emptyValue='""', escape='"', dateFormat="yyyy-MM-dd",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
@@ -52,19 +60,11 @@ def save_table(df: DataFrame, database: str, name: str, fmt: str = "parquet") ->
     return full
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Match columns by name (any case), in the target order and types.
-
-    Casts are strict, so a value that does not fit aborts the load.
-    """
-    return df.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
-
-
 def reload_table(
     spark: SparkSession, csv_path: str, database: str, name: str, schema: StructType
 ) -> str:
-    """Idempotent load of an exported CSV folder: replace the table, abort on bad rows."""
-    raw = spark.read.csv(csv_path, header=True)
-    return save_table(conform(raw, schema), database, name)
+    """Idempotent load of an exported CSV folder: replace the table, abort on bad rows.
+
+    Bad are: a short or long row, a value that does not fit, a file with another header, a missing target column.
+    """
+    return save_table(read_exported(spark, csv_path, schema), database, name)

@@ -4,6 +4,7 @@ from .delimited import (  # noqa: F401
     drop_header,
     parse_lines,
     read_delimited,
+    read_exported,
     read_inferred,
     read_lines,
     read_quarantined,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
+#: Stands for a missing field while an export is read, so that empty texts differ from it.
+NO_VALUE = "\ue000"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -40,6 +42,25 @@ def read_raw(spark: SparkSession, path: str | list[str], schema: StructType) ->
     return read_delimited(spark, path, text_only, header=True)
 
 
+def read_exported(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Exported CSV folders as they were written, strictly: quoted line breaks, outer blanks and empty texts are kept.
+
+    Columns are matched by name (any case). A missing column is an error at once; a short or long row, a file with
+    another header, or a value that does not fit its type is an error when read.
+    """
+    layout = {"header": True, "multiLine": True, "escape": '"', "nullValue": NO_VALUE, "emptyValue": ""}
+    names = spark.read.csv(path, **layout).columns
+    missing = {n.lower() for n in schema.fieldNames()} - {n.lower() for n in names}
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
+    text = StructType([StructField(n, StringType()) for n in names])
+    # Without pruning every field of a row is counted, whatever is selected.
+    rows = spark.read.schema(text).option("columnPruning", False).csv(
+        path, enforceSchema=False, mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        **layout)
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_inferred(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """Headed CSV with inferred types, optionally renamed by position."""
     df = spark.read.csv(path, header=True, inferSchema=True)

@@ -25,20 +25,29 @@ def channel(event_type: Column, order_types: list[str]) -> Column:
 
 
 def run_counts(events: DataFrame, keys: list[str], out: str, name: str = "events") -> None:
-    """Keep ``out`` as the current count per key; each batch replaces the whole small table."""
+    """Write the count per key after each batch to a folder of its own below ``out``.
 
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/counts")
+    A batch that is run again writes the same folder, and the earlier ones stay whole: see ``latest_counts``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
 
     counts = events.groupBy(*keys).agg(F.count("*").alias(name))
     query = (
-        counts.writeStream.outputMode("complete").foreachBatch(replace)
+        counts.writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts after the newest batch that ``run_counts`` wrote."""
+    every = spark.read.parquet(f"{out}/counts")
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def run_routing(events: DataFrame, out: str) -> None:
     """Append events to ``out``, one folder per value of their ``channel`` column."""
     query = (

@@ -7,25 +7,26 @@ from pyspark.sql import functions as F
 
 from loomtable import schemas, sinks
 from loomtable.plans import retail, reports
-from loomtable.sources import drop_header, parse_lines, read_delimited, read_lines, read_quarantined
+from loomtable.sources import (drop_header, parse_lines, read_delimited, read_exported, read_lines,
+                               read_quarantined)
 from loomtable.streaming import events as stream
 
 
 @pytest.fixture
 def csv_folder(tmp_path):
-    (tmp_path / "part_1.csv").write_text("id,name,age\n1,Alice,25\n2,Bob,30\n")
-    (tmp_path / "part_2.csv").write_text("id,name,age\n3,Charlie,35\n4,Diana,not_a_number\n5,Extra,40,unexpected\n")
+    (tmp_path / "part_1.csv").write_text("id,name,age\n7,Ines,61\n8,Tomás,19\n")
+    (tmp_path / "part_2.csv").write_text("id,name,age\n9,Wu,44\n10,Olu,4o\n11,Pia,52,x,y\n")
     return tmp_path
 
 
 def test_quarantine(spark, rows, csv_folder):
     usable, bad = read_quarantined(spark, f"{csv_folder}/*.csv", schemas.CSV_PEOPLE)
-    assert rows(usable, "id", "age") == [(1, 25), (2, 30), (3, 35)]
-    assert rows(bad, "id", "age") == [(4, None), (5, 40)]
+    assert rows(usable, "id", "age") == [(7, 61), (8, 19), (9, 44)]
+    assert rows(bad, "id", "age") == [(10, None), (11, 52)]
     # The split holds for any column selection and for plain counts.
     assert (usable.count(), bad.count()) == (3, 2)
-    assert rows(bad, "id") == [(4,), (5,)]
-    assert rows(bad, "_corrupt_record") == [("4,Diana,not_a_number",), ("5,Extra,40,unexpected",)]
+    assert rows(bad, "id") == [(10,), (11,)]
+    assert rows(bad, "_corrupt_record") == [("10,Olu,4o",), ("11,Pia,52,x,y",)]
     assert rows(usable.select("source_filename").distinct()) == [("part_1.csv",), ("part_2.csv",)]
 
 
@@ -36,15 +37,26 @@ def test_parse_modes(spark, csv_folder):
     with pytest.raises(Exception, match="(?i)malformed"):
         strict.collect()
     dropped = read_delimited(spark, f"{csv_folder}/part_2.csv", schemas.CSV_PEOPLE, header=True, mode="DROPMALFORMED")
-    assert [tuple(r) for r in dropped.collect()] == [(3, "Charlie", 35)]
+    assert [tuple(r) for r in dropped.collect()] == [(9, "Wu", 44)]
 
 
-def test_single_file_only_when_small(spark, tmp_path):
+def test_single_file_or_an_error(spark, tmp_path):
     df = spark.range(0, 100, 1, 4).select(F.col("id").cast("string").alias("value"))
-    sinks.write_text(sinks.one_file_if_small(df), str(tmp_path / "one"))
-    sinks.write_text(sinks.one_file_if_small(df, max_rows=50), str(tmp_path / "many"))
+    sinks.write_text(sinks.one_file(df, max_rows=100), str(tmp_path / "one"))
     assert len(glob.glob(str(tmp_path / "one/part-*"))) == 1
-    assert len(glob.glob(str(tmp_path / "many/part-*"))) == 4
+    with pytest.raises(ValueError, match="one file"):
+        sinks.one_file(df, max_rows=99)
+
+
+def test_export_comes_back_as_it_was(spark, rows, tmp_path, monkeypatch):
+    texts = ["a\nb", "c\r\nd\r", '"', 'x","y', " pad ", "", None, "\\", '\\"', "\t", "é,ü", "null", "#no comment", "'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 3)
+    sinks.export_csv(df, str(tmp_path / "t"))
+    assert len(glob.glob(str(tmp_path / "t/part-*"))) >= 5
+    back = read_exported(spark, str(tmp_path / "t"), df.schema)
+    assert rows(back.orderBy("id")) == rows(df.orderBy("id"))
+    assert (back.count(), back.select("id").distinct().count()) == (len(texts), len(texts))
 
 
 def test_export_writes_empty_nulls_and_iso_dates(spark, tmp_path):
@@ -86,7 +98,7 @@ def test_retail_run(spark, rows, tmp_path):
         (tmp_path / f"{name}.csv").write_text(body)
     raw = retail.read_raw_tables(spark, str(tmp_path))
     sinks.create_database(spark, "shop", str(tmp_path / "shop"))
-    tables = retail.run(raw, "shop", str(tmp_path / "export"))
+    tables = retail.run(raw, "shop", str(tmp_path / "export"), single_files=True)
     assert rows(tables["data_quality_summary"]) == [
         ("customers", 4, 2, 2), ("orders", 6, 2, 4), ("products", 3, 2, 1)]
     facts = tables["orders"].orderBy("order_id").collect()
@@ -106,12 +118,25 @@ def test_retail_run(spark, rows, tmp_path):
     assert reports.overall_performance(tables["orders"]).first().total_units == 3
 
 
-def test_reload_aborts_on_bad_value(spark, tmp_path):
-    (tmp_path / "x.csv").write_text("id,name,age\n1,a,old\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+@pytest.mark.parametrize("body, error", [
+    ("id,name,age\n1,a,old\n", "CAST_INVALID_INPUT"),
+    ("id,name,age\n1,a\n", "(?i)malformed"),
+    ("id,name,age\n1,a,2,more\n", "(?i)malformed"),
+    ("id,name\n1,a\n", "no column age"),
+])
+def test_reload_aborts_on_bad_rows(spark, tmp_path, body, error):
+    (tmp_path / "x.csv").write_text(body)
+    with pytest.raises(Exception, match=error):
         sinks.reload_table(spark, str(tmp_path / "x.csv"), "default", "bad_load", schemas.CSV_PEOPLE)
 
 
+def test_reload_aborts_on_a_file_with_another_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,age\n1,a,2\n")
+    (tmp_path / "b.csv").write_text("id,age,name\n1,2,a\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        sinks.reload_table(spark, str(tmp_path), "default", "bad_load", schemas.CSV_PEOPLE)
+
+
 def test_stream_restarts_without_counting_twice(spark, rows, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "event_id INT, event_type STRING"
@@ -119,15 +144,15 @@ def test_stream_restarts_without_counting_twice(spark, rows, tmp_path):
     frame = spark.read.parquet(source)
     for _ in range(2):
         stream.run_counts(stream.read_event_stream(spark, source, frame.schema), ["event_type"], out)
-        assert rows(spark.read.parquet(f"{out}/counts")) == [("purchase", 1), ("view", 1)]
+        assert rows(stream.latest_counts(spark, out)) == [("purchase", 1), ("view", 1)]
     spark.createDataFrame([(3, "view")], schema).write.mode("append").parquet(source)
     stream.run_counts(stream.read_event_stream(spark, source, frame.schema), ["event_type"], out)
-    assert rows(spark.read.parquet(f"{out}/counts")) == [("purchase", 1), ("view", 2)]
+    assert rows(stream.latest_counts(spark, out)) == [("purchase", 1), ("view", 2)]
 
     # A path pattern finds a table kept as one file or as a folder of files.
     stream.run_counts(stream.read_event_stream(spark, f"{tmp_path}/i[n]", frame.schema), ["event_type"],
                       str(tmp_path / "by_pattern"))
-    assert rows(spark.read.parquet(str(tmp_path / "by_pattern/counts"))) == [("purchase", 1), ("view", 2)]
+    assert rows(stream.latest_counts(spark, str(tmp_path / "by_pattern"))) == [("purchase", 1), ("view", 2)]
 
     routed = stream.read_event_stream(spark, source, frame.schema).withColumn(
         "channel", stream.channel(F.col("event_type"), ["purchase"]))
