@@ -245,7 +245,7 @@ def adjacency_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def hero_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
-        F.col("p_partkey").cast("int").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name")
+        F.col("p_partkey").cast("bigint").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name")
     )
 
 

@@ -84,7 +84,7 @@ SELECT count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS
 FROM f
 """)
 def overall_performance(spark, sf):
-    return plain(reports.overall_performance(order_facts(spark, sf)))
+    return plain(reports.overall_performance(order_facts(spark, sf), per_order=True))
 
 
 @query(f"""
@@ -112,12 +112,12 @@ SELECT * FROM s
 
 @query(CUSTOMER_SALES_SQL + " ORDER BY total_revenue DESC, customer_id LIMIT 10")
 def top_customers_by_revenue(spark, sf):
-    return plain(reports.top_customers(order_facts(spark, sf), customer_dim(spark, sf)))
+    return plain(reports.top_customers(order_facts(spark, sf), customer_dim(spark, sf), per_order=True))
 
 
 @query(CUSTOMER_SALES_SQL)
 def mart_customer_sales(spark, sf):
-    return plain(reports.customer_sales(order_facts(spark, sf), customer_dim(spark, sf)))
+    return plain(reports.customer_sales(order_facts(spark, sf), customer_dim(spark, sf), per_order=True))
 
 
 PRODUCT_SALES_SQL = f"""
@@ -149,7 +149,7 @@ SELECT order_status, payment_method, count(DISTINCT order_id) AS total_orders,
 FROM f GROUP BY ALL
 """)
 def revenue_by_status_payment(spark, sf):
-    return plain(reports.revenue_by_status_payment(order_facts(spark, sf)))
+    return plain(reports.revenue_by_status_payment(order_facts(spark, sf), per_order=True))
 
 
 @query(f"""
@@ -161,7 +161,7 @@ SELECT CAST(date_trunc('month', order_date) AS DATE) AS sales_month,
 FROM f GROUP BY 1
 """)
 def monthly_sales_trend(spark, sf):
-    return plain(reports.monthly_trend(order_facts(spark, sf)))
+    return plain(reports.monthly_trend(order_facts(spark, sf), per_order=True))
 
 
 @query(f"""
@@ -176,12 +176,17 @@ def avg_shipping_days(spark, sf):
 
 
 @query("""
-SELECT p_partkey AS product_id, CAST(p_retailprice - 0 AS DOUBLE) AS price, 0.0::DOUBLE AS gross_margin,
-       0.0::DOUBLE AS gross_margin_pct
-FROM part
+WITH p AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(12,2)) AS price, 10 * p_size AS cost FROM part)
+SELECT p_partkey AS product_id, CAST(price AS DOUBLE) AS price, CAST(price - cost AS DOUBLE) AS gross_margin,
+       CAST(round((price - cost) * 100 / price, 2) AS DOUBLE) AS gross_margin_pct
+FROM p
 """)
 def product_margin(spark, sf):
-    margins = reports.with_margin(product_dim(spark, sf))
+    """Margins with a cost that follows the size, as the tables hold none."""
+    cost = (F.col("p_size") * 10).cast("decimal(12,2)")
+    products = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("product_id"), money("p_retailprice").alias("price"), cost.alias("cost"))
+    margins = reports.with_margin(products)
     return plain(margins.select("product_id", "price", "gross_margin", "gross_margin_pct"))
 
 

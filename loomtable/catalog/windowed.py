@@ -31,9 +31,7 @@ def rank_compare(spark, sf):
     customer = table(spark, sf, "customer").select(
         "c_mktsegment", "c_custkey", F.floor(F.col("c_acctbal") / 10).alias("c_acctbal")
     )
-    ranked = windows.rank_compare(
-        customer, ["c_mktsegment"], "c_acctbal", ["c_custkey"], F.floor(F.col("c_acctbal") / 10)
-    )
+    ranked = windows.rank_compare(customer, ["c_mktsegment"], "c_acctbal", ["c_custkey"])
     return ranked.withColumns({
         c: F.col(c).cast("bigint") for c in ("row_number", "rank", "dense_rank")
     })
@@ -79,7 +77,7 @@ FROM events
 """)
 def running_total(spark, sf):
     events = user_events(spark, sf).withColumn("value", money("value"))
-    totals = windows.running_total(events, ["user_id"], ["ts", "event_id"], "value", F.to_date("ts"))
+    totals = windows.running_total(events, ["user_id"], ["ts", "event_id"], "value")
     return plain(totals.select("event_id", "user_id", "running_total"))
 
 
@@ -89,9 +87,7 @@ SELECT event_id, user_id, lag(value) OVER w AS previous, lead(value) OVER w AS n
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def lag_lead_diff(spark, sf):
-    moved = windows.neighbours(
-        user_events(spark, sf), ["user_id"], ["ts", "event_id"], "value", F.to_date("ts")
-    )
+    moved = windows.neighbours(user_events(spark, sf), ["user_id"], ["ts", "event_id"], "value")
     return moved.select("event_id", "user_id", "previous", "next", "difference")
 
 
@@ -121,5 +117,5 @@ SELECT event_id, user_id, session_number,
 FROM s
 """)
 def sessionize(spark, sf):
-    numbered = windows.sessionize(user_events(spark, sf), "user_id", "ts", F.to_date("ts"))
+    numbered = windows.sessionize(user_events(spark, sf), "user_id", "ts")
     return numbered.select("event_id", "user_id", "session_number", "session_id")

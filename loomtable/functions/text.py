@@ -36,8 +36,13 @@ def token(text: Column, index: int, sep: str = " ", limit: int = -1) -> Column:
     return F.get(F.split(text, sep, limit), F.lit(index))
 
 
-def access_field(line: Column, group: int) -> Column:
-    return F.regexp_extract(line, ACCESS_LINE, group)
+def access_fields(line: Column) -> Column:
+    """An array that holds the five fields of an access-log line, each after a line break, or nothing.
+
+    The pattern runs once a line: a line of another shape stays without a break at its start and is left out.
+    """
+    marked = F.regexp_replace(line, f"{ACCESS_LINE}.*$", "\n$1\n$2\n$3\n$4\n$5")
+    return F.filter(F.array(marked), lambda x: x.startswith("\n"))
 
 
 def register_functions(spark: SparkSession) -> None:

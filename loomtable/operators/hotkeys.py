@@ -1,7 +1,10 @@
-"""Finding hot keys and small tables, and null-safe matching.
+"""Hot keys split into blocks of rows, and null-safe matching.
 
-A hot key is a key value carried by more than ``hot_rows`` rows. There can be at most
-``total_rows / hot_rows`` of them, which bounds the size of the hot-key table.
+A key value may carry any share of all rows. Operators that look at a whole group work on it block by block:
+a block is a run of the group's rows between two bounds in the group's own order, tie-break included. Bounds are
+rows picked by a hash, about one in ``step``, so a key has as many blocks as its rows call for, keys with few rows
+mostly have none, and the same rows give the same blocks whenever and wherever they are computed. No job runs
+while a query is built.
 """
 
 from __future__ import annotations
@@ -11,24 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows one task may hold for one key before the key is worked on in blocks.
-HOT_ROWS = 5_000_000
-#: Rows up to which a lookup table may be copied to every executor.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast after counting that it is small; else leave it alone.
-
-    Beyond the bound Spark joins by shuffle and splits skewed partitions adaptively.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows (counted with map-side combine)."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return counts.filter(F.col("_rows") > hot_rows).select(*keys)
+#: Rows of a block on average. The longest of a million blocks has about fourteen times as many.
+BLOCK_ROWS = 500_000
+BLOCK = "_block"
 
 
 def same(left: str, right: str, names: list[str]) -> Column:
@@ -51,17 +39,41 @@ def match(left: DataFrame, right: DataFrame, names: list[str], how: str) -> Data
     return joined.select("l.*", *[F.col(f"r.{c}") for c in extra])
 
 
-def isolate_hot(
-    df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Split a table into rows of ordinary keys and rows of hot keys.
+def bounds(df: DataFrame, keys: list[str], order: list[str], step: int = BLOCK_ROWS) -> DataFrame:
+    """For each key that has any: ``_bounds``, the sorted places (structs of ``order``) of the rows that a hash
+    picks. There is about one for ``step`` rows of the table, over all keys."""
+    picked = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(step)) == 0)
+    places = F.sort_array(F.collect_set(F.struct(*order)))
+    return picked.groupBy(*keys).agg(places.alias("_bounds"))
+
+
+def place_among(places: Column, place: Column) -> Column:
+    """How many of the sorted ``places`` are at or before ``place``, by bisection."""
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    start = F.struct(F.lit(0).alias("lo"), F.size(places).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        here = middle(s)
+        after = F.get(places, here) <= place
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(after, here + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(after, s["hi"]).otherwise(here).alias("hi"),
+        ))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(places) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
+def in_blocks(
+    df: DataFrame, keys: list[str], order: list[str], step: int = BLOCK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys without bounds, and rows of the others with their block in ``_block``.
 
-    The second part is None when one counting pass finds no hot key, so the ordinary
-    plan stays as it is.
+    All rows of a block come before all rows of the next in ascending ``order`` (nulls first); rows that agree in
+    all of ``order`` share a block. The joins with the bounds carry no broadcast hint: Spark knows their size at
+    run time, and splits a skewed partition where they are too large to be copied.
     """
-    hot = hot_keys(df, keys, hot_rows)
-    found = hot.count()
-    if not found:
-        return df, None
-    few = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
-    return match(df, few, keys, "left_anti"), match(df, few, keys, "left_semi")
+    found = bounds(df, keys, order, step)
+    cold = match(df, found.select(*keys), keys, "left_anti")
+    hot = match(df, found, keys, "inner")
+    return cold, hot.withColumn(BLOCK, place_among(F.col("_bounds"), F.struct(*order))).drop("_bounds")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.operators.hotkeys import broadcast_if_small
-
 
 def inner_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Matching rows with both key columns kept."""
@@ -33,9 +31,10 @@ def lookup_with_default(
 ) -> DataFrame:
     """Add ``value`` from a lookup table with unique keys, ``default`` where it has none.
 
-    The lookup is broadcast only after its row count was checked.
+    Spark broadcasts the lookup where it knows its bytes to be few, before the run or during it; else both sides
+    are shuffled.
     """
-    found = df.join(broadcast_if_small(lookup.select(key, value)), key, "left")
+    found = df.join(lookup.select(key, value), key, "left")
     return found.withColumn(value, F.coalesce(value, F.lit(default)))
 
 

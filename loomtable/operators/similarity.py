@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.operators.hotkeys import hot_keys
-
-#: Items per user up to which the user's pairs are built in one place.
-HOT_ITEMS = 1_000
-SALTS = 64
-
-SUMS = ("num_pairs", "sum_xx", "sum_yy", "sum_xy")
+#: Mean number of items in a bucket. Pairs are built between two buckets of a user at a time.
+BUCKET_ITEMS = 500
 
 
 def _pair_sums(pairs: DataFrame) -> DataFrame:
@@ -36,33 +31,30 @@ def _scored(sums: DataFrame, min_pairs: int, min_score: float | None) -> DataFra
     return scored if min_score is None else scored.filter(F.col("score") > min_score)
 
 
-def _same_user_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Unordered item pairs of each user, as (item1 < item2, x, y)."""
-    a = left.select(*on, F.col("_item").alias("item1"), F.col("_rating").alias("x"))
-    b = right.select(*on, F.col("_item").alias("item2"), F.col("_rating").alias("y"))
-    return a.join(b, on).filter(F.col("item1") < F.col("item2"))
+def _in_units(ratings: DataFrame, bucket: int) -> DataFrame:
+    """Each rating once for every unit it takes part in: a unit is a user and two of the user's buckets.
 
+    A user has one bucket for each ``bucket`` items, so users with fewer have one unit and their rows stay single.
+    """
+    sizes = ratings.groupBy("_user").agg(F.ceil(F.count("*") / bucket).alias("_buckets"))
+    own = F.pmod(F.xxhash64("_item"), F.col("_buckets"))
+    placed = ratings.join(sizes, "_user").withColumn("_own", own)
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_buckets") - 1))
+    return placed.select("*", others.alias("_other")).select(
+        "_user", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"),
+        "_own", "_item", "_rating",
+    )
 
-def _pairs_of_hot_users_only(hot: DataFrame, min_pairs: int, salts: int) -> DataFrame:
-    """Pairs that could reach ``min_pairs`` through hot users alone.
 
-    Two items sharing ``min_pairs`` users still share one after each item drops its
-    ``min_pairs - 1`` busiest users. Only the remaining rows are paired, each user's work
-    being spread over ``salts`` tasks.
-    """
-    degree = hot.groupBy("_user").agg(F.count("*").alias("_degree"))
-    rows = hot.join(degree, "_user")
-    if min_pairs > 1:
-        busiest = Window.partitionBy("_item").orderBy(F.desc("_degree"), "_user")
-        dropped = (
-            rows.withColumn("_place", F.row_number().over(busiest))
-            .filter(F.col("_place") <= min_pairs - 1)
-            .select("_user", "_item")
-        )
-        rows = rows.join(dropped, ["_user", "_item"], "left_anti")
-    left = rows.withColumn("_slot", F.pmod(F.xxhash64("_item"), F.lit(salts)))
-    right = rows.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return _same_user_pairs(left, right, ["_user", "_slot"]).select("item1", "item2").distinct()
+def _same_user_pairs(ratings: DataFrame, bucket: int) -> DataFrame:
+    """Unordered item pairs of each user, as (item1 < item2, x, y), each built in one unit."""
+    unit = ["_user", "_low", "_high"]
+    rows = _in_units(ratings, bucket)
+    a = rows.select(*unit, F.col("_own").alias("_own1"), F.col("_item").alias("item1"), F.col("_rating").alias("x"))
+    b = rows.select(*unit, F.col("_own").alias("_own2"), F.col("_item").alias("item2"), F.col("_rating").alias("y"))
+    # In a unit of two buckets only pairs across them count; pairs within one have a unit of their own.
+    here = (F.col("_low") == F.col("_high")) | (F.col("_own1") != F.col("_own2"))
+    return a.join(b, unit).filter((F.col("item1") < F.col("item2")) & here)
 
 
 def item_similarity(
@@ -72,8 +64,7 @@ def item_similarity(
     rating: str,
     min_pairs: int = 1,
     min_score: float | None = None,
-    hot_items: int = HOT_ITEMS,
-    salts: int = SALTS,
+    bucket: int = BUCKET_ITEMS,
 ) -> DataFrame:
     """Cosine of the ratings of two items over the users who rated both.
 
@@ -81,35 +72,14 @@ def item_similarity(
     ``num_pairs`` for pairs with at least ``min_pairs`` common users and, if given, a
     score above ``min_score``.
 
-    Users with up to ``hot_items`` items are paired by a self-join. The share of busier users
-    is added only to pairs that other users already produced, or that could reach
-    ``min_pairs`` through busy users alone; finding the latter pairs the fewest items it can
-    and spreads them over tasks. The result is exact either way.
+    A user's items are cut into buckets of about ``bucket`` items and paired bucket with bucket, so that no key of
+    the join has more than about twice as many rows, whatever the user's size. Pairs are added up map-side.
     """
     ratings = df.select(
         F.col(user).alias("_user"), F.col(item).alias("_item"),
         F.col(rating).cast("double").alias("_rating"),
     ).filter(F.col("_user").isNotNull() & F.col("_item").isNotNull())
-    busy = hot_keys(ratings, ["_user"], hot_items)
-    if busy.isEmpty():
-        sums = _pair_sums(_same_user_pairs(ratings, ratings, ["_user"]))
-        return _scored(sums, min_pairs, min_score)
-
-    cold = ratings.join(busy, "_user", "left_anti")
-    hot = ratings.join(busy, "_user", "left_semi")
-    cold_sums = _pair_sums(_same_user_pairs(cold, cold, ["_user"]))
-    candidates = (
-        cold_sums.select("item1", "item2")
-        .union(_pairs_of_hot_users_only(hot, min_pairs, salts))
-        .distinct()
-    )
-    first = hot.select(F.col("_item").alias("item1"), "_user", F.col("_rating").alias("x"))
-    second = hot.select(F.col("_item").alias("item2"), "_user", F.col("_rating").alias("y"))
-    hot_sums = _pair_sums(candidates.join(first, "item1").join(second, ["item2", "_user"]))
-    merged = cold_sums.unionByName(hot_sums).groupBy("item1", "item2").agg(
-        *[F.sum(c).alias(c) for c in SUMS]
-    )
-    return _scored(merged, min_pairs, min_score)
+    return _scored(_pair_sums(_same_user_pairs(ratings, bucket)), min_pairs, min_score)
 
 
 def similar_items(

@@ -1,10 +1,9 @@
 """Ranking, running, neighbouring, rolling and session calculations.
 
-Operators that look at a whole group take a ``block`` column: a coarsening of the sort
-order, such as the day of a timestamp, so that all rows of a block sort before all rows
-of the next. Keys with more than ``hot_rows`` rows are worked on block by block, and a
-small table with one row per (hot key, block) carries the state from block to block.
-Results are the same with and without blocks; no task holds a whole hot group.
+Operators that look at a whole group work on hot keys in blocks of rows (see ``hotkeys``): each block by itself, and
+a small table with one row per (key, block) carries the state from block to block. Results are the same for any
+``step``, the mean number of rows in a block, so it may be set freely (sums of floating-point numbers are added up
+block by block and can differ in their last digits; decimals and integers can't). No task holds a whole hot group.
 """
 
 from __future__ import annotations
@@ -13,9 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtable.functions.times import day_number, epoch_seconds
-from loomtable.operators.hotkeys import HOT_ROWS, broadcast_if_small, isolate_hot, match
-
-BLOCK = "_block"
+from loomtable.operators.hotkeys import BLOCK, BLOCK_ROWS, in_blocks, match
 
 
 def _before(keys: list[str], order, upto: int = -1):
@@ -42,21 +39,14 @@ def top_n_per_group(
     return kept if position else kept.drop(rank)
 
 
-def top_with_ties(
-    df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def top_with_ties(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """All rows that share the largest value of their group (nulls come last).
 
-    Losers are cut before the shuffle. Ties of a hot key are not gathered at all: its rows
-    are matched where they are with the largest value of their key.
+    The largest values are found with map-side combine and the rows matched with them, so ties are never gathered
+    and a skewed partition of the join can be split.
     """
-    cold, hot = isolate_hot(df, keys, hot_rows)
-    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(value)))
-    plain = cold.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
-    if hot is None:
-        return plain
-    best = broadcast_if_small(hot.groupBy(*keys).agg(F.max(value).alias(value)))
-    return plain.unionByName(match(hot, best, [*keys, value], "left_semi"))
+    best = df.groupBy(*keys).agg(F.max(value).alias(value))
+    return match(df, best, [*keys, value], "left_semi")
 
 
 def dedupe_by_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -65,50 +55,61 @@ def dedupe_by_key(df: DataFrame, keys: list[str], order: list[Column] | None = N
     return top_n_per_group(df, keys, rest, 1)
 
 
-def rank_compare(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    tiebreak: list[str],
-    block: Column,
-    hot_rows: int = HOT_ROWS,
+def _cumulative(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], step: int
 ) -> DataFrame:
-    """Add ``row_number``, ``rank`` and ``dense_rank`` by descending value.
+    """Sums from the first row of a key to the current one in ascending ``order``, as new name -> column added up."""
 
-    ``tiebreak`` columns order equal values for ``row_number``. ``block`` must rise with
-    the value and depend on nothing else.
-    """
-
-    def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-        by_value = Window.partitionBy(*by).orderBy(F.desc(value))
-        by_row = Window.partitionBy(*by).orderBy(F.desc(value), *tiebreak)
-        return rows.withColumns({
-            "row_number": F.row_number().over(by_row),
-            "rank": F.rank().over(by_value),
-            "dense_rank": F.dense_rank().over(by_value),
-        })
+    def summed(rows: DataFrame, by: list[str]) -> DataFrame:
+        frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return rows.withColumns({name: F.sum(value).over(frame) for name, value in sums.items()})
 
-    cold, hot = isolate_hot(df, keys, hot_rows)
-    plain = ranked(cold, keys)
-    if hot is None:
-        return plain
-    hot = hot.withColumn(BLOCK, block)
-    higher = _before(keys, F.desc(BLOCK))
+    cold, hot = in_blocks(df, keys, order, step)
+    earlier = _before(keys, F.col(BLOCK))
     carry = (
         hot.groupBy(*keys, BLOCK)
-        .agg(F.count("*").alias("_n"), F.count_distinct(value).alias("_d"))
-        .select(
-            *keys, BLOCK,
-            F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_before"),
-            F.coalesce(F.sum("_d").over(higher), F.lit(0)).alias("_values_before"),
-        )
+        .agg(*[F.sum(value).alias(f"_total_{i}") for i, value in enumerate(sums.values())])
+        .select(*keys, BLOCK, *[F.sum(f"_total_{i}").over(earlier).alias(f"_carry_{i}") for i in range(len(sums))])
     )
-    blocked = match(ranked(hot, keys + [BLOCK]), carry, keys + [BLOCK], "left")
-    return _combine(plain, blocked.withColumns({
-        "row_number": F.col("row_number") + F.col("_rows_before"),
-        "rank": F.col("rank") + F.col("_rows_before"),
-        "dense_rank": F.col("dense_rank") + F.col("_values_before"),
-    }))
+    blocked = match(summed(hot, keys + [BLOCK]), carry, keys + [BLOCK], "left")
+    blocked = blocked.withColumns({
+        name: F.coalesce(F.col(name) + F.col(f"_carry_{i}"), F.col(name), F.col(f"_carry_{i}"))
+        for i, name in enumerate(sums)
+    })
+    return _combine(summed(cold, keys), blocked)
+
+
+def rank_compare(
+    df: DataFrame, keys: list[str], value: str, tiebreak: list[str], step: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``row_number``, ``rank`` and ``dense_rank`` by descending value.
+
+    ``tiebreak`` columns order equal values for ``row_number``. Of a hot key, the rows per value are counted first;
+    ranks are running totals over its values, and row numbers those within one value on top. Many different values
+    and many ties are both worked on in blocks.
+    """
+    cold, hot = in_blocks(df, keys, [value, *tiebreak], step)
+    by_value = Window.partitionBy(*keys).orderBy(F.desc(value))
+    by_row = Window.partitionBy(*keys).orderBy(F.desc(value), *tiebreak)
+    plain = cold.withColumns({
+        "row_number": F.row_number().over(by_row),
+        "rank": F.rank().over(by_value),
+        "dense_rank": F.dense_rank().over(by_value),
+    })
+    hot = hot.drop(BLOCK).withColumn("_one", F.lit(1).cast("bigint"))
+    values = hot.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.first("_one").alias("_one"))
+    all_of_key = values.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.sum("_one").alias("_values"))
+    upto = _cumulative(values, keys, [value], {"_rows_upto": "_n", "_values_upto": "_one"}, step)
+    ranks = match(upto, all_of_key, keys, "left").select(
+        *keys, value,
+        (F.col("_rows") - F.col("_rows_upto") + 1).alias("rank"),
+        (F.col("_values") - F.col("_values_upto") + 1).alias("dense_rank"),
+    )
+    within = _cumulative(hot, [*keys, value], tiebreak, {"row_number": "_one"}, step)
+    ranked = match(within, ranks, [*keys, value], "left")
+    return _combine(plain, ranked.withColumn("row_number", F.col("row_number") + F.col("rank") - 1))
 
 
 def running_total(
@@ -116,43 +117,17 @@ def running_total(
     keys: list[str],
     order: list[str],
     value: str,
-    block: Column,
     name: str = "running_total",
-    hot_rows: int = HOT_ROWS,
+    step: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Cumulative sum per key in ascending ``order`` (which must be total)."""
-
-    def summed(rows: DataFrame, by: list[str]) -> DataFrame:
-        frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return rows.withColumn(name, F.sum(value).over(frame))
-
-    cold, hot = isolate_hot(df, keys, hot_rows)
-    plain = summed(cold, keys)
-    if hot is None:
-        return plain
-    hot = hot.withColumn(BLOCK, block)
-    carry = (
-        hot.groupBy(*keys, BLOCK).agg(F.sum(value).alias("_total"))
-        .select(*keys, BLOCK, F.sum("_total").over(_before(keys, F.col(BLOCK))).alias("_carry"))
-    )
-    blocked = match(summed(hot, keys + [BLOCK]), carry, keys + [BLOCK], "left")
-    both = F.col(name) + F.col("_carry")
-    return _combine(
-        plain, blocked.withColumn(name, F.coalesce(both, F.col(name), F.col("_carry")))
-    )
+    return _cumulative(df, keys, order, {name: value}, step)
 
 
 def neighbours(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: str,
-    block: Column,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[str], value: str, step: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``previous``, ``next`` and ``difference`` (value less previous) per key."""
+    """Add ``previous``, ``next`` and ``difference`` (value less previous) per key; ``order`` must be total."""
 
     def shifted(rows: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order)
@@ -160,33 +135,30 @@ def neighbours(
             "previous": F.lag(value, 1).over(w), "next": F.lead(value, 1).over(w),
         })
 
-    cold, hot = isolate_hot(df, keys, hot_rows)
-    plain = shifted(cold, keys)
-    if hot is not None:
-        hot = hot.withColumn(BLOCK, block)
-        place = F.struct(*order)
-        along = Window.partitionBy(*keys).orderBy(BLOCK)
-        ends = (
-            hot.groupBy(*keys, BLOCK)
-            .agg(
-                F.min(place).alias("_first"), F.max(place).alias("_last"),
-                F.min_by(value, place).alias("_first_value"),
-                F.max_by(value, place).alias("_last_value"),
-            )
-            .withColumns({
-                "_last_before": F.lag("_last_value").over(along),
-                "_first_after": F.lead("_first_value").over(along),
-            })
-            .drop("_first_value", "_last_value")
+    cold, hot = in_blocks(df, keys, order, step)
+    place = F.struct(*order)
+    along = Window.partitionBy(*keys).orderBy(BLOCK)
+    ends = (
+        hot.groupBy(*keys, BLOCK)
+        .agg(
+            F.min(place).alias("_first"), F.max(place).alias("_last"),
+            F.min_by(value, place).alias("_first_value"),
+            F.max_by(value, place).alias("_last_value"),
         )
-        inside = match(shifted(hot, keys + [BLOCK]), ends, keys + [BLOCK], "left")
-        plain = _combine(plain, inside.withColumns({
-            "previous": F.when(place == F.col("_first"), F.col("_last_before"))
-            .otherwise(F.col("previous")),
-            "next": F.when(place == F.col("_last"), F.col("_first_after"))
-            .otherwise(F.col("next")),
-        }))
-    return plain.withColumn("difference", F.col(value) - F.col("previous"))
+        .withColumns({
+            "_last_before": F.lag("_last_value").over(along),
+            "_first_after": F.lead("_first_value").over(along),
+        })
+        .drop("_first_value", "_last_value")
+    )
+    inside = match(shifted(hot, keys + [BLOCK]), ends, keys + [BLOCK], "left")
+    moved = _combine(shifted(cold, keys), inside.withColumns({
+        "previous": F.when(place == F.col("_first"), F.col("_last_before"))
+        .otherwise(F.col("previous")),
+        "next": F.when(place == F.col("_last"), F.col("_first_after"))
+        .otherwise(F.col("next")),
+    }))
+    return moved.withColumn("difference", F.col(value) - F.col("previous"))
 
 
 def rolling_days(
@@ -211,17 +183,13 @@ def rolling_days(
 
 
 def sessionize(
-    df: DataFrame,
-    user: str,
-    ts: str,
-    block: Column,
-    gap_seconds: int = 1800,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, user: str, ts: str, gap_seconds: int = 1800, step: int = BLOCK_ROWS
 ) -> DataFrame:
     """Number each user's sessions; a gap longer than ``gap_seconds`` starts a new one.
 
     Gaps are measured in whole seconds. Adds ``session_number`` and ``session_id``
-    (user, underscore, number padded to three digits).
+    (user, underscore, number padded to three digits). Rows of one second are ordered by a
+    hash, so that even a single second can be worked on in blocks.
     """
 
     def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -232,31 +200,30 @@ def sessionize(
         # Ties in the second have gap 0, so a peer-inclusive range frame is exact.
         return rows.withColumn("_breaks", breaks.over(w)).drop("_gap")
 
-    timed = df.withColumn("_sec", epoch_seconds(F.col(ts)))
-    cold, hot = isolate_hot(timed, [user], hot_rows)
-    result = numbered(cold, [user]).withColumn("session_number", F.col("_breaks") + 1)
-    if hot is not None:
-        keys = [user, BLOCK]
-        inside = numbered(hot.withColumn(BLOCK, block), keys)
-        along = Window.partitionBy(user).orderBy(BLOCK)
-        apart = F.col("_start") - F.lag("_end").over(along) > gap_seconds
-        carry = (
-            inside.groupBy(*keys)
-            .agg(F.min("_sec").alias("_start"), F.max("_sec").alias("_end"),
-                 F.max("_breaks").alias("_inner"))
-            .withColumn("_opens", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
-            .withColumn("_before", F.coalesce(
-                F.sum(F.col("_opens") + F.col("_inner")).over(_before([user], F.col(BLOCK))),
-                F.lit(0),
-            ))
-            .select(*keys, (F.col("_before") + F.col("_opens")).alias("_offset"))
-        )
-        blocked = match(inside, carry, keys, "left")
-        result = _combine(
-            result, blocked.withColumn("session_number", F.col("_offset") + F.col("_breaks"))
-        )
+    timed = df.withColumns({"_sec": epoch_seconds(F.col(ts)), "_tie": F.xxhash64(*df.columns)})
+    cold, hot = in_blocks(timed, [user], ["_sec", "_tie"], step)
+    plain = numbered(cold, [user]).withColumn("session_number", F.col("_breaks") + 1)
+    keys = [user, BLOCK]
+    inside = numbered(hot, keys)
+    along = Window.partitionBy(user).orderBy(BLOCK)
+    apart = F.col("_start") - F.lag("_end").over(along) > gap_seconds
+    carry = (
+        inside.groupBy(*keys)
+        .agg(F.min("_sec").alias("_start"), F.max("_sec").alias("_end"),
+             F.max("_breaks").alias("_inner"))
+        .withColumn("_opens", F.when(F.coalesce(apart, F.lag(BLOCK).over(along).isNull()), 1).otherwise(0))
+        .withColumn("_before", F.coalesce(
+            F.sum(F.col("_opens") + F.col("_inner")).over(_before([user], F.col(BLOCK))),
+            F.lit(0),
+        ))
+        .select(*keys, (F.col("_before") + F.col("_opens")).alias("_offset"))
+    )
+    blocked = match(inside, carry, keys, "left")
+    result = _combine(
+        plain, blocked.withColumn("session_number", F.col("_offset") + F.col("_breaks"))
+    )
     number = F.col("session_number").cast("string")
     padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return result.withColumn(
         "session_id", F.concat_ws("_", F.col(user).cast("string"), padded)
-    ).drop("_sec", "_breaks")
+    ).drop("_sec", "_tie", "_breaks")

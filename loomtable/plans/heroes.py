@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.functions.text import tokens
 from loomtable.operators.aggregates import rows_at_minimum
 
 
 def connections(lines: DataFrame) -> DataFrame:
     """Total connections per id; each line is an id followed by the ids it meets."""
-    parts = tokens(F.col("value"))
+    line = F.col("value")
     per_line = lines.select(
-        F.get(parts, F.lit(0)).try_cast("int").alias("id"),
-        (F.size(parts) - 1).alias("connections"),
+        F.regexp_extract(line, r"^\s*(\S+)", 1).try_cast("bigint").alias("id"),
+        (F.regexp_count(line, F.lit(r"\S+")) - 1).alias("connections"),
     )
     known = per_line.filter(F.col("id").isNotNull())
     return known.groupBy("id").agg(F.sum("connections").alias("connections"))

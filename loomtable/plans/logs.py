@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtable.functions.text import access_field, token, tokens
+from loomtable.functions.text import access_fields, token, tokens
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:
     """Fields of each access-log line; lines of another shape are dropped."""
+    fields = F.split("fields", "\n")
     names = ("ip_address", "method", "endpoint", "protocol")
-    line = F.col("value")
-    parsed = lines.select(
-        *[access_field(line, i).alias(n) for i, n in enumerate(names, 1)],
-        access_field(line, 5).try_cast("int").alias("status"),
+    return lines.select(F.explode(access_fields(F.col("value"))).alias("fields")).select(
+        *[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names, 1)],
+        F.get(fields, F.lit(5)).try_cast("int").alias("status"),
     )
-    return parsed.filter(F.col("ip_address") != "")
 
 
 def requests_by(parsed: DataFrame, column: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 ``orders`` needs: order_id, customer_id, product_id, order_date, ship_date, quantity,
 calculated_total_amount, order_status, payment_method (as far as a report uses them).
+``per_order`` says that there is one fact per order; otherwise (lines) orders are counted distinct.
 Facts are added up by key before any join with a dimension where the result allows it.
 """
 
@@ -17,9 +18,10 @@ PRODUCT = ("product_id", "product_name", "category", "brand")
 CUSTOMER = ("customer_id", "first_name", "last_name", "country", "state")
 
 
-def _measures(*extra: Column) -> list[Column]:
+def _measures(per_order: bool, *extra: Column) -> list[Column]:
+    orders = F.count("order_id") if per_order else F.count_distinct("order_id")
     return [
-        F.count_distinct("order_id").alias("total_orders"),
+        orders.alias("total_orders"),
         *extra,
         F.sum("quantity").alias("total_units"),
         F.round(F.sum(AMOUNT), 2).alias("total_revenue"),
@@ -33,37 +35,39 @@ def _customers_and_average() -> list[Column]:
     ]
 
 
-def overall_performance(orders: DataFrame) -> DataFrame:
+def overall_performance(orders: DataFrame, per_order: bool = False) -> DataFrame:
     buyers, average = _customers_and_average()
-    return orders.agg(*_measures(buyers), average)
+    return orders.agg(*_measures(per_order, buyers), average)
 
 
-def revenue_by_category(orders: DataFrame, products: DataFrame) -> DataFrame:
+def revenue_by_category(orders: DataFrame, products: DataFrame, per_order: bool = False) -> DataFrame:
     """Revenue and estimated profit (revenue less quantity times cost) per category."""
     profit = F.col(AMOUNT) - F.col("quantity") * F.col("cost")
     return (
         orders.join(products.select("product_id", "category", "cost"), "product_id")
         .groupBy("category")
-        .agg(*_measures(), F.round(F.sum(profit), 2).alias("estimated_profit"))
+        .agg(*_measures(per_order), F.round(F.sum(profit), 2).alias("estimated_profit"))
         .orderBy(F.desc("total_revenue"), "category")
     )
 
 
-def customer_sales(orders: DataFrame, customers: DataFrame) -> DataFrame:
+def customer_sales(orders: DataFrame, customers: DataFrame, per_order: bool = False) -> DataFrame:
     """Orders, units and revenue per customer."""
-    totals = orders.groupBy("customer_id").agg(*_measures())
+    totals = orders.groupBy("customer_id").agg(*_measures(per_order))
     return customers.select(*CUSTOMER).join(totals, "customer_id")
 
 
-def top_customers(orders: DataFrame, customers: DataFrame, n: int = 10) -> DataFrame:
-    ranked = customer_sales(orders, customers)
+def top_customers(
+    orders: DataFrame, customers: DataFrame, n: int = 10, per_order: bool = False
+) -> DataFrame:
+    ranked = customer_sales(orders, customers, per_order)
     return ranked.orderBy(F.desc("total_revenue"), "customer_id").limit(n)
 
 
-def product_sales(orders: DataFrame, products: DataFrame) -> DataFrame:
+def product_sales(orders: DataFrame, products: DataFrame, per_order: bool = False) -> DataFrame:
     """Orders, units, revenue and estimated profit per product."""
     totals = orders.groupBy("product_id").agg(
-        *_measures(),
+        *_measures(per_order),
         # Lines without an amount or quantity carry no profit either.
         F.sum(F.when(F.col("quantity").isNotNull(), F.col(AMOUNT))).alias("_amount"),
         F.sum(F.when(F.col(AMOUNT).isNotNull(), F.col("quantity"))).alias("_units"),
@@ -81,16 +85,16 @@ def top_products(orders: DataFrame, products: DataFrame, n: int = 10) -> DataFra
     return ranked.orderBy(F.desc("total_units"), F.desc("total_revenue"), "product_id").limit(n)
 
 
-def revenue_by_status_payment(orders: DataFrame) -> DataFrame:
+def revenue_by_status_payment(orders: DataFrame, per_order: bool = False) -> DataFrame:
     keys = ("order_status", "payment_method")
-    return orders.groupBy(*keys).agg(*_measures()).orderBy(F.desc("total_revenue"), *keys)
+    return orders.groupBy(*keys).agg(*_measures(per_order)).orderBy(F.desc("total_revenue"), *keys)
 
 
-def monthly_trend(orders: DataFrame) -> DataFrame:
+def monthly_trend(orders: DataFrame, per_order: bool = False) -> DataFrame:
     buyers, average = _customers_and_average()
     return (
         orders.groupBy(month_start(F.col("order_date")).alias("sales_month"))
-        .agg(*_measures(buyers), average)
+        .agg(*_measures(per_order, buyers), average)
         .orderBy("sales_month")
     )
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtable.operators import windows
-from loomtable.operators.hotkeys import broadcast_if_small, hot_keys, isolate_hot
+from loomtable.operators.hotkeys import BLOCK, in_blocks
 from loomtable.operators.similarity import item_similarity, similar_items
 
 
@@ -28,29 +28,54 @@ def events(spark):
     return spark.createDataFrame(data, "id INT, user INT, ts TIMESTAMP, value INT").cache()
 
 
-def day():
-    return F.to_date("ts")
-
-
 def check(events, rows, operator, columns):
-    """The operator with everything hot, with the busy users hot, and with none hot."""
+    """The operator with a bound at every row, with some blocks per hot user, and without blocks."""
     plain = rows(operator(10**9), *columns)
-    assert rows(operator(50), *columns) == plain
+    assert rows(operator(40), *columns) == plain
     assert rows(operator(1), *columns) == plain
     assert len(plain) == events.count()
     return plain
 
 
-def test_isolate(spark, events):
-    assert {r.user for r in hot_keys(events, ["user"], 50).collect()} == {1, None}
-    cold, hot = isolate_hot(events, ["user"], 50)
-    assert (cold.count(), hot.count()) == (200, 400)
-    assert isolate_hot(events, ["user"], 10**6)[1] is None
+def test_blocks(spark, events):
+    cold, hot = in_blocks(events, ["user"], ["ts", "id"], 25)
+    assert cold.count() + hot.count() == events.count()
+    for user in (1, None):
+        got = [(r[BLOCK], r.ts, r.id) for r in hot.filter(F.col("user").eqNullSafe(user)).collect()]
+        assert len({b for b, _, _ in got}) > 3
+        by_place = sorted(got, key=lambda g: g[1:])
+        assert [b for b, _, _ in by_place] == sorted(b for b, _, _ in by_place)
+    assert in_blocks(events, ["user"], ["ts", "id"], 10**9)[1].isEmpty()
+
+
+def test_no_block_holds_a_whole_hot_group(spark):
+    """One user, one second, one value: the tie-break splits it."""
+    same = spark.range(20_000).select(F.lit(1).alias("user"), F.lit(5).alias("value"), "id")
+    _, hot = in_blocks(same, ["user"], ["value", "id"], 100)
+    largest = hot.groupBy(BLOCK).count().agg(F.max("count")).first()[0]
+    assert hot.count() == 20_000
+    assert largest < 2_000
+    ranked = windows.rank_compare(same, ["user"], "value", ["id"], 100)
+    assert ranked.filter((F.col("rank") == 1) & (F.col("dense_rank") == 1)
+                         & (F.col("row_number") == F.col("id") + 1)).count() == 20_000
+
+
+def test_no_job_while_the_query_is_built(spark, events):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("built", "")
+    windows.running_total(events, ["user"], ["ts", "id"], "value")
+    windows.neighbours(events, ["user"], ["ts", "id"], "value")
+    windows.rank_compare(events, ["user"], "value", ["id"])
+    windows.top_with_ties(events, ["user"], "value")
+    windows.sessionize(events, "user", "ts")
+    item_similarity(events.withColumn("rating", F.lit(1.0)), "user", "id", "rating")
+    assert not tracker.getJobIdsForGroup("built")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_running_total(events, rows):
     got = check(events, rows, lambda hot: windows.running_total(
-        events, ["user"], ["ts", "id"], "value", day(), hot_rows=hot), ["id", "running_total"])
+        events, ["user"], ["ts", "id"], "value", step=hot), ["id", "running_total"])
     totals, want = defaultdict(lambda: None), []
     for r in sorted(events.collect(), key=lambda r: (r.ts, r.id)):
         if r.value is not None:
@@ -61,7 +86,7 @@ def test_running_total(events, rows):
 
 def test_neighbours(events, rows):
     got = check(events, rows, lambda hot: windows.neighbours(
-        events, ["user"], ["ts", "id"], "value", day(), hot_rows=hot), ["id", "previous", "next", "difference"])
+        events, ["user"], ["ts", "id"], "value", step=hot), ["id", "previous", "next", "difference"])
     per_user, want = defaultdict(list), []
     for r in sorted(events.collect(), key=lambda r: (r.ts, r.id)):
         per_user[r.user].append(r)
@@ -76,7 +101,7 @@ def test_neighbours(events, rows):
 
 def test_sessions(events, rows):
     got = check(events, rows, lambda hot: windows.sessionize(
-        events, "user", "ts", day(), hot_rows=hot), ["id", "session_number", "session_id"])
+        events, "user", "ts", step=hot), ["id", "session_number", "session_id"])
     last, number, want = {}, defaultdict(int), {}
     for r in sorted(events.collect(), key=lambda r: (r.ts, r.id)):
         if r.user not in last or (r.ts - last[r.user]).total_seconds() > 1800:
@@ -90,14 +115,14 @@ def test_session_gap_across_blocks(spark, rows):
     """A session that runs over midnight stays one session."""
     at = [datetime(2024, 1, 1, 23, 50), datetime(2024, 1, 2, 0, 20), datetime(2024, 1, 2, 0, 50, 1)]
     df = spark.createDataFrame([(1, t) for t in at], "user INT, ts TIMESTAMP")
-    for hot in (0, 100):
-        assert rows(windows.sessionize(df, "user", "ts", day(), hot_rows=hot), "session_number") == [(1,), (1,), (2,)]
+    for hot in (1, 100):
+        assert rows(windows.sessionize(df, "user", "ts", step=hot), "session_number") == [(1,), (1,), (2,)]
 
 
 def test_ranks(events, rows):
     df = events.withColumn("amount", F.col("value"))
     check(events, rows, lambda hot: windows.rank_compare(
-        df, ["user"], "amount", ["id"], F.floor(F.col("amount") / 10), hot_rows=hot),
+        df, ["user"], "amount", ["id"], step=hot),
         ["id", "row_number", "rank", "dense_rank"])
 
 
@@ -107,9 +132,8 @@ def test_ties(events, rows):
         group = [r for r in events.collect() if r.user == user]
         top = max((r.value for r in group if r.value is not None), default=None)
         want += [(r.id, r.value) for r in group if r.value == top]
-    for hot in (1, 50, 10**9):
-        got = rows(windows.top_with_ties(events, ["user"], "value", hot), "id", "value")
-        assert sorted(map(str, got)) == sorted(map(str, want))
+    got = rows(windows.top_with_ties(events, ["user"], "value"), "id", "value")
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_rolling(events, rows):
@@ -156,8 +180,8 @@ def skewed_ratings():
 def test_similarity_with_busy_users(spark, skewed_ratings, min_pairs, min_score):
     df = spark.createDataFrame(skewed_ratings, "u INT, i INT, r DOUBLE")
     want = brute_similarity(skewed_ratings, min_pairs, min_score)
-    for hot_items in (3, 10, 1000):
-        got = item_similarity(df, "u", "i", "r", min_pairs, min_score, hot_items, salts=3)
+    for bucket in (3, 10, 1000):
+        got = item_similarity(df, "u", "i", "r", min_pairs, min_score, bucket)
         assert {(p.item1, p.item2): (round(p.score, 9), p.num_pairs) for p in got.collect()} == want
 
 
@@ -166,9 +190,3 @@ def test_similar_to_one_item(spark, skewed_ratings):
     want = {a + b - 7: v for (a, b), v in brute_similarity(skewed_ratings, 2, 0.5).items() if 7 in (a, b)}
     got = similar_items(df, "u", "i", "r", 7, min_pairs=2, min_score=0.5)
     assert {p.similar_item: (round(p.score, 9), p.num_pairs) for p in got.collect()} == want
-
-
-def test_broadcast_only_below_bound(spark):
-    small = spark.range(10)
-    assert "broadcast" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
-    assert broadcast_if_small(small, 9) is small

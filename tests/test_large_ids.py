@@ -28,7 +28,7 @@ def test_product_id_pattern_is_a_parameter(spark, rows):
 def test_many_sessions_of_one_user(spark):
     events = spark.range(1200).select(
         F.lit("u").alias("user"), F.timestamp_seconds(F.col("id") * 7200 + 1_700_000_000).alias("ts"))
-    ids = sessionize(events, "user", "ts", F.to_date("ts")).select("session_id")
+    ids = sessionize(events, "user", "ts").select("session_id")
     assert ids.distinct().count() == 1200 and ids.filter("session_id = 'u_1200'").count() == 1
 
 

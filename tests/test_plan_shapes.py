@@ -29,11 +29,16 @@ def test_no_python_and_no_cross_join(spark, name):
         assert node not in text
 
 
-@pytest.mark.parametrize("name", ["top1_per_group", "top3_per_group", "top_with_ties", "dedupe_by_keys", "clean_orders"])
+@pytest.mark.parametrize("name", ["top1_per_group", "top3_per_group", "dedupe_by_keys", "clean_orders"])
 def test_groups_are_trimmed_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in of(spark, name)
 
 
+def test_ties_are_not_gathered(spark):
+    text = of(spark, "top_with_ties")
+    assert "LeftSemi" in text and "Window" not in text
+
+
 @pytest.mark.parametrize("name", ["top_k", "take_ordered", "top_customers_by_revenue", "etl_top3"])
 def test_top_k_does_not_sort_everything(spark, name):
     assert "TakeOrderedAndProject" in of(spark, name)
