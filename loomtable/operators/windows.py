@@ -86,9 +86,8 @@ def rank_compare(
 ) -> DataFrame:
     """Add ``row_number``, ``rank`` and ``dense_rank`` by descending value.
 
-    ``tiebreak`` columns order equal values for ``row_number``. Of a hot key, the rows per value are counted first;
-    ranks are running totals over its values, and row numbers those within one value on top. Many different values
-    and many ties are both worked on in blocks.
+    ``tiebreak`` columns order equal values for ``row_number``. Rows of a hot key are numbered upwards by block; what
+    lies above a value follows from the counts per (key, block, value), as a value may go on over several blocks.
     """
     cold, hot = in_blocks(df, keys, [value, *tiebreak], step)
     by_value = Window.partitionBy(*keys).orderBy(F.desc(value))
@@ -98,18 +97,44 @@ def rank_compare(
         "rank": F.rank().over(by_value),
         "dense_rank": F.dense_rank().over(by_value),
     })
-    hot = hot.drop(BLOCK).withColumn("_one", F.lit(1).cast("bigint"))
-    values = hot.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.first("_one").alias("_one"))
-    all_of_key = values.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.sum("_one").alias("_values"))
-    upto = _cumulative(values, keys, [value], {"_rows_upto": "_n", "_values_upto": "_one"}, step)
-    ranks = match(upto, all_of_key, keys, "left").select(
-        *keys, value,
-        (F.col("_rows") - F.col("_rows_upto") + 1).alias("rank"),
-        (F.col("_values") - F.col("_values_upto") + 1).alias("dense_rank"),
+
+    inside = keys + [BLOCK]
+    upwards = Window.partitionBy(*inside).orderBy(value)
+    values = hot.groupBy(*inside, value).agg(F.count("*").alias("_n")).withColumns({
+        "_upto": F.sum("_n").over(upwards), "_index": F.row_number().over(upwards),
+    })
+    key, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(BLOCK)
+    earlier = _before(keys, F.col(BLOCK))
+    place = F.struct(value)
+    blocks = (
+        values.groupBy(*inside)
+        .agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"),
+             F.min(place).alias("_first"), F.max(place).alias("_last"))
+        # The first value may be the last one of the block before.
+        .withColumn("_shared", F.coalesce(F.lag("_last").over(along) == F.col("_first"), F.lit(False)).cast("int"))
+        .select(
+            *inside,
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+            F.sum("_rows").over(key).alias("_all_rows"),
+            (F.coalesce(F.sum(F.col("_values") - F.col("_shared")).over(earlier), F.lit(0))
+             - F.col("_shared")).alias("_values_before"),
+            F.sum(F.col("_values") - F.col("_shared")).over(key).alias("_all_values"),
+        )
+    )
+    ranks = match(values, blocks, inside, "left").groupBy(*keys, value).agg(
+        F.sum("_n").alias("_same"),
+        (F.max("_all_rows") - F.max(F.col("_rows_before") + F.col("_upto"))).alias("_above"),
+        (F.max("_all_values") - F.max(F.col("_values_before") + F.col("_index")) + 1).alias("dense_rank"),
     )
-    within = _cumulative(hot, [*keys, value], tiebreak, {"row_number": "_one"}, step)
-    ranked = match(within, ranks, [*keys, value], "left")
-    return _combine(plain, ranked.withColumn("row_number", F.col("row_number") + F.col("rank") - 1))
+    numbered = hot.withColumn("_up", F.row_number().over(
+        Window.partitionBy(*inside).orderBy(value, *tiebreak)))
+    ranked = match(match(numbered, blocks, inside, "left"), ranks, [*keys, value], "left").withColumns({
+        # Rows before this one upwards, less those of smaller values, come after the rows above.
+        "row_number": F.col("_above") + F.col("_rows_before") + F.col("_up")
+        - (F.col("_all_rows") - F.col("_above") - F.col("_same")),
+        "rank": F.col("_above") + 1,
+    })
+    return _combine(plain, ranked)
 
 
 def running_total(
