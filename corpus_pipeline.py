@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over a tenth of a source's different pages go from its texts; the documents all stay."""
+    """Lines on over a tenth of a source's different pages, and on five or more, go from its texts; the documents all
+    stay."""
     changed = lines.drop_boilerplate(docs, "source", "text")
     columns = [F.col("kept_text").alias(c) if c == "text" else
                F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -333,6 +334,18 @@ def test_boilerplate_lines_by_host(spark):
     assert lines.drop_boilerplate(pages_.limit(0), "source", "text").count() == 0
 
 
+def test_unique_lines_of_small_hosts_stay(spark):
+    # At the production ratio a tenth of 5 to 49 pages is less than five of them.
+    rows = [(n * 100 + i, f"h{n}", f"menu\nown {i}\npair {i // 2}") for n in (5, 7, 9, 10, 19, 30, 49) for i in range(n)]
+    pages_ = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = lines.drop_boilerplate(pages_, "source", "text").select("row.doc_id", "kept_text", "n_dropped").collect()
+    assert len(out) == len(rows)
+    assert all(r["kept_text"] == f"own {i}\npair {i // 2}" for r in out for i in [r["doc_id"] % 100])
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    kept = stage(spark, pages_.withColumn("n_chars", F.length("text").cast("long")), "").collect()
+    assert all(r["text"] == f"own {i}\npair {i // 2}" for r in kept for i in [r["doc_id"] % 100])
+
+
 def test_main_text_of_pages(spark):
     page = ("<html><body class='has-sidebar'><header><h1>Site</h1></header><div class='cookie-notice'>We use</div>"
             "<div id=wrap><article><h1>T&eacute;st &amp; x</h1><p>One<br>two <b>bold</b>text<p>three<ul><li>a<li>b</ul>"
