@@ -1,13 +1,16 @@
 """Main text of web pages with a site style tree.
 
 The pages of a host are merged by the paths of their container elements (tags with classes). For every path the tree
-holds how its presentation (the sequence of child tags) and its content vary over the pages. Both entropies, divided by
-that of all pages different, make the path's importance: what looks and reads the same everywhere is low. Elements whose
-role is stated (nav, footer, forms, adverts, comments and so on) have no importance from the start. A page's text is
-what is left of its article (or main part, or body) after the branches of low importance are removed.
-
-Tasks send one row for each (host, path, variant) they met, so a large host combines before the shuffle. A host's low
-paths go back as one array, on a join that deals the pages of each host over SALTS tasks.
+holds how its presentation (the sequence of child tags) and its content vary over the pages. The larger of both
+entropies, divided by that of all pages different, is the path's importance: only what looks and reads the same
+everywhere is low, on a host of any size. Elements whose role is stated (nav, footer, forms, adverts, comments and so
+on) have no importance from the start. A page's text is what is left of its article (or main part, or body) after the
+branches of low importance are removed. A branch goes from a page only if it reads there as it does on MIN_PAGES and on
+a COMMON share of the path's pages: what few pages alone have in a path is theirs.
+
+(host, path, variant) counts combine before the shuffle, so a large host costs each task one row a variant. What is
+common in a host's low paths (at most 1 / COMMON contents each) goes back as one array, on a join that deals the pages
+of each host over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .shared import materialize, slices
 SALTS = 64
 #: A path of at least so many pages and at most this importance is noise.
 MIN_PAGES, LOW_IMPORTANCE = 8, 0.2
-#: Weight of the content against the presentation, by the number of presentations.
-GAMMA = 0.9
+#: Share of a noisy path's pages that must have a content for it to be removed.
+COMMON = 0.01
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -163,25 +166,26 @@ def raw_text(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
-def variants(page: str) -> dict[int, tuple[int, int]]:
-    """For each container path of a page: hashes of its presentation and of its content."""
+def variants(every: list[tuple[Node, int]]) -> dict[int, tuple[int, int]]:
+    """For each container path of a page: hashes of its presentation and of its content (path included)."""
     out: dict[int, tuple[int, int]] = {}
-    for node, key in keyed(parse(page)):
+    for node, key in every:
         if node.tag not in CONTAINERS:
             continue
         tags = [x.tag for x in node.parts if isinstance(x, Node)]
         tags = [t for i, t in enumerate(tags) if not i or tags[i - 1] != t]
         look = xxhash.xxh64_intdigest(" ".join(tags)) >> 1
         content = xxhash.xxh64_intdigest(raw_text(node)) >> 1
-        before = out.get(key, (0, 0))
+        before = out.get(key, (0, key))
         out[key] = ((before[0] * 31 + look) & (2**63 - 1), (before[1] * 31 + content) & (2**63 - 1))
     return out
 
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    """The text of the article without branches of low importance; ``low`` has their path keys."""
+    """The text of the article without branches of low importance; ``low`` has the hashes of their contents."""
     root = parse(page)
     every = keyed(root)
+    low_paths = {key for key, (_, content) in variants(every).items() if content in low} if low else ()
     whole = {"article", "main"}
     holds: set[int] = set()  # elements that have an article or main part inside
     for node, _ in every:
@@ -203,7 +207,7 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
         body = node.tag in ("html", "body") or id(node) in holds
         bad = node.hidden or node.tag in NOISE_TAGS or node.tag == "header" and id(node) not in inside
         bad = bad or (node.tag not in INLINE or node.tag == "span") and node.noise_words()
-        bad = bad or key in low and node.tag not in whole
+        bad = bad or key in low_paths and node.tag not in whole
         if bad and not body:
             noise.add(id(node))
         elif node.tag in whole and (id(node) not in inside or up not in inside):
@@ -254,40 +258,38 @@ def host_of(url: Column) -> Column:
     return found
 
 
-def style_tree(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, path, n_pages, importance) of every container path of every host."""
+def style_tree(pages: DataFrame, host: str, page: str) -> tuple[DataFrame, DataFrame]:
+    """(host, path, n_pages, importance) of every container path of every host, and (host, path, kind, variant, n) of
+    the presentations (kind 0) and contents (1) there, written to the shared folder."""
     src = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{page}`").cast("binary").alias("text"))
-    schema = "host string, path long, kind int, variant long, n long"
+    kinds = pa.list_(pa.struct([("path", pa.int64()), ("look", pa.int64()), ("content", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                seen: dict[tuple, int] = {}
-                hosts, texts = part.column("host").to_pylist(), part.column("text").to_pylist()
-                for h, t in zip(hosts, texts, strict=True):
-                    for key, both in variants((t or b"").decode("utf-8", "replace")).items():
-                        for kind in (0, 1):
-                            k = (h, key, kind, both[kind])
-                            seen[k] = seen.get(k, 0) + 1
-                columns = list(zip(*seen, strict=True)) or [()] * 4
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+                hosts, texts, pages, found = part.column("host").to_pylist(), part.column("text").to_pylist(), [], []
+                for t in texts:
+                    every = keyed(parse((t or b"").decode("utf-8", "replace")))
+                    pages.append(xxhash.xxh64_intdigest(t or b"") >> 1)
+                    found.append([{"path": k, "look": x, "content": y} for k, (x, y) in variants(every).items()])
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                     pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "variant", "n"])
-
-    each = src.mapInArrow(run, schema).groupBy("host", "path", "kind", "variant").agg(F.sum("n").alias("n"))
+                    [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(found, kinds)],
+                    ["host", "page", "found"])
+
+    each = src.mapInArrow(run, "host string, page long, found array<struct<path: long, look: long, content: long>>")
+    each = each.select("host", F.explode("found").alias("f")).select("host", "f.path", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("f.look").alias("variant")),
+        F.struct(F.lit(1).alias("kind"), F.col("f.content").alias("variant")))).alias("v"))
+    each = each.groupBy("host", "path", "v.kind", "v.variant").agg(F.count("*").alias("n"))
+    each = materialize(each, "variants")
     of = [F.col("kind") == k for k in (0, 1)]
     spread = [F.sum(F.when(c, F.col("n") * F.log("n")).otherwise(0.0)) for c in of]
     m = F.sum(F.when(of[0], F.col("n")).otherwise(0))
-    sums = each.groupBy("host", "path").agg(
-        m.alias("n_pages"), spread[0].alias("s0"), spread[1].alias("s1"),
-        F.sum(of[0].cast("long")).alias("looks"))
+    sums = each.groupBy("host", "path").agg(m.alias("n_pages"), spread[0].alias("s0"), spread[1].alias("s1"))
     top = F.log("n_pages")
     entropy = [F.when(F.col("n_pages") > 1, (top - F.col(s) / F.col("n_pages")) / top).otherwise(1.0)
                for s in ("s0", "s1")]
-    share = F.pow(F.lit(GAMMA), F.col("looks"))
-    return sums.select("host", "path", "n_pages",
-                       (entropy[0] * (1 - share) + entropy[1] * share).alias("importance"))
+    return sums.select("host", "path", "n_pages", F.greatest(*entropy).alias("importance")), each
 
 
 def main_texts(pages: DataFrame, url: str, page: str, keep: list[str]) -> DataFrame:
@@ -299,9 +301,11 @@ def main_texts(pages: DataFrame, url: str, page: str, keep: list[str]) -> DataFr
     """
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     src = pages.select(row, host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page}`").cast("binary").alias("text"))
-    tree = style_tree(src, "host", "text")
+    tree, each = style_tree(src, "host", "text")
     low = tree.filter((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") <= LOW_IMPORTANCE))
-    low = materialize(low.groupBy("host").agg(F.collect_list("path").alias("low")), "style-tree").select(
+    often = each.filter((F.col("kind") == 1) & (F.col("n") >= MIN_PAGES)).join(low, ["host", "path"]).filter(
+        F.col("n") >= COMMON * F.col("n_pages"))
+    low = materialize(often.groupBy("host").agg(F.collect_list("variant").alias("low")), "style-tree").select(
         F.col("host").alias("site"), "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("on"))
     src = src.withColumn("salt", F.pmod(F.xxhash64("text", "row"), F.lit(SALTS)).cast("int"))
     met = src.join(low, (src["host"] == low["site"]) & (src["salt"] == low["on"]), "left").select("row", "text", "low")

@@ -366,6 +366,35 @@ def test_main_text_of_pages(spark):
     assert pages.main_texts(df.limit(0), "url", "html", ["page_id"]).count() == 0
 
 
+def main_texts_of(spark, htmls):
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").withColumn(
+        "url", F.concat(F.lit("http://hot.org/"), "page_id"))
+    out = pages.main_texts(df, "url", "html", ["page_id"]).select("row.page_id", "text").collect()
+    assert len(out) == len(htmls)
+    return [r["text"] for r in sorted(out)]
+
+
+def test_main_text_of_a_large_host_keeps_what_differs(spark):
+    # 1,200 different texts in a div, one layout on most pages and forty rarer ones; the box reads alike everywhere
+    # but on a few pages, which have their own words in it.
+    tags = ["p", "h2", "pre", "blockquote", "h3", "h4"]
+    def layout(i):
+        if i % 20:
+            return [("p", f"text {i}")]
+        k = i // 20 % 40
+        return [(tags[k % 6], f"a {i}"), (tags[k // 6 % 6 - 6], f"b {i}"), (tags[k % 5], f"c {i}")]
+
+    htmls, want = [], []
+    for i in range(1200):
+        inner = "".join(f"<{t}>{x}</{t}>" for t, x in layout(i))
+        box = f"<p>Only {i}</p>" if i % 40 == 0 else "<p>Always</p>"
+        htmls.append(f"<body><div class='box'>{box}</div><article><div class='x'>{inner}</div></article></body>"
+                     .replace("<article>", "").replace("</article>", "") if i % 2 else
+                     f"<body><article><div class='box'>{box}</div><div class='x'>{inner}</div></article></body>")
+        want.append("\n".join(([f"Only {i}"] if i % 40 == 0 else []) + [x for _, x in layout(i)]))
+    assert main_texts_of(spark, htmls) == want
+
+
 def test_maximal_segments_by_definition():
     rng = random.Random(3)
     for _ in range(300):
