@@ -6,9 +6,11 @@ entropies, divided by that of all pages different, is the path's importance: onl
 everywhere is low, on a host of any size. Elements whose role is stated (nav, footer, forms, adverts, comments and so
 on) have no importance from the start. A page's text is what is left of its article (or main part, or body) after the
 branches of low importance are removed. A branch goes from a page only if it reads there as it does on MIN_PAGES and on
-a COMMON share of the path's pages: what few pages alone have in a path is theirs.
+a COMMON share of the path's pages: what few pages alone have in a path is theirs. Pages with the same text count once
+in all of this: copies of a page, or its other addresses, don't make its own text look like boilerplate.
 
-(host, path, variant) counts combine before the shuffle, so a large host costs each task one row a variant. What is
+A page moves as its hashes to be counted once; (host, path, variant) counts combine before the shuffle, so a large host
+costs each task one row a variant. What is
 common in a host's low paths (at most 1 / COMMON contents each) goes back as one array, on a join that deals the pages
 of each host over SALTS tasks.
 """
@@ -259,7 +261,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, host: str, page: str) -> tuple[DataFrame, DataFrame]:
-    """(host, path, n_pages, importance) of every container path of every host, and (host, path, kind, variant, n) of
+    """(host, path, n_pages, importance) of every container path of every host, of different pages, and (host, path, kind, variant, n) of
     the presentations (kind 0) and contents (1) there, written to the shared folder."""
     src = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{page}`").cast("binary").alias("text"))
     kinds = pa.list_(pa.struct([("path", pa.int64()), ("look", pa.int64()), ("content", pa.int64())]))
@@ -270,13 +272,14 @@ def style_tree(pages: DataFrame, host: str, page: str) -> tuple[DataFrame, DataF
                 hosts, texts, pages, found = part.column("host").to_pylist(), part.column("text").to_pylist(), [], []
                 for t in texts:
                     every = keyed(parse((t or b"").decode("utf-8", "replace")))
-                    pages.append(xxhash.xxh64_intdigest(t or b"") >> 1)
+                    pages.append(xxhash.xxh64_intdigest(raw_text(every[0][0].parent)) >> 1 if every else 0)
                     found.append([{"path": k, "look": x, "content": y} for k, (x, y) in variants(every).items()])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(found, kinds)],
                     ["host", "page", "found"])
 
     each = src.mapInArrow(run, "host string, page long, found array<struct<path: long, look: long, content: long>>")
+    each = each.groupBy("host", "page").agg(F.min("found").alias("found"))
     each = each.select("host", F.explode("found").alias("f")).select("host", "f.path", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("f.look").alias("variant")),
         F.struct(F.lit(1).alias("kind"), F.col("f.content").alias("variant")))).alias("v"))

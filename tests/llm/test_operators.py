@@ -395,6 +395,15 @@ def test_main_text_of_a_large_host_keeps_what_differs(spark):
     assert main_texts_of(spark, htmls) == want
 
 
+def test_copies_of_a_page_keep_its_text(spark):
+    # One page 60 times under other addresses, half of them named in the head, beside 12 others.
+    page = "<head><link href='{0}'></head><body><div class='x'>Always</div><div class='y'><p>Own {1}</p></div></body>"
+    htmls = [page.format(i if i % 2 else 0, 0) for i in range(60)] + [page.format(i, i) for i in range(1, 13)]
+    assert main_texts_of(spark, htmls) == ["Own 0"] * 60 + [f"Own {i}" for i in range(1, 13)]
+    # Alone on its host nothing tells its parts apart: the whole text stays, for any number of copies.
+    assert main_texts_of(spark, [page.format(i, 0) for i in range(30)]) == ["Always\nOwn 0"] * 30
+
+
 def test_maximal_segments_by_definition():
     rng = random.Random(3)
     for _ in range(300):
