@@ -17,8 +17,8 @@ from loomtable.llm.shared import materialize
 #: Differing bits up to which two fingerprints are sure to meet, the parts they are cut into for it, and the bits that
 #: still make a candidate among those that meet.
 RADIUS, BANDS, REACH = 6, 8, 10
-#: Estimated similarity of five-word shingles that links two documents: one standard error below 0.8.
-ALIKE = 0.75
+#: Similarity (Jaccard index) of five-word shingles that links two documents.
+ALIKE = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

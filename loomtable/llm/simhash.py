@@ -10,11 +10,13 @@ tree block is searched by the members of every block, one task for a pair of blo
 One tree of all fingerprints sent everywhere would grow with the data and be searched by every row in full. Sending
 each member only to the trees that can hold a neighbour loses nothing (pigeonhole).
 
-Where a similarity is asked for (``alike``), a candidate within ``reach`` bits becomes a link only if it holds in the
-least values of SIGNATURE hash functions over the sets of longer shingles, which travel with the fingerprint. ``reach``
-may exceed ``radius``: the guarantee of meeting ends at ``radius`` bits, most pairs a few bits beyond still meet.
+Where a similarity is asked for (``alike``), a candidate within ``reach`` bits becomes a link only if the Jaccard index of
+the two texts' sets of longer shingles, counted from the texts, is that high. The least values of SIGNATURE hash functions
+over these sets, which travel with the fingerprint, only spare texts far below (SLACK) that count. First the candidates
+that span a shard are counted, then those that these did not connect already, so a large group costs few counts.
+``reach`` may exceed ``radius``: the guarantee of meeting ends at ``radius`` bits, most pairs a few bits beyond still meet.
 
-A task returns links that span what it found, at most one per member; components come from rounds of
+Without it, a task returns links that span what it found, at most one per member; components come from rounds of
 large-star and small-star steps on those links, each written to the shared folder.
 """
 
@@ -35,6 +37,8 @@ from .shared import materialize, rows_with
 TREE_SIZE = 2048
 #: Bytes of a signature, one for each hash function; the similarity read from it has a standard error of 0.05 at 0.8.
 SIGNATURE = 64
+#: A pair whose estimate is lower than asked for by more than this (four standard errors) is not counted.
+SLACK = 0.2
 
 _MIX = np.random.default_rng(7).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) | np.uint64(1)
 
@@ -140,10 +144,9 @@ def _root(parent: dict[int, int], x: int) -> int:
 
 
 def shard_links(
-    tree: list[int], queries: list[int], radius: int, same: Callable[[int, int], bool] | None = None,
+    tree: list[int], queries: list[int], radius: int,
 ) -> list[tuple[int, int]]:
-    """Links that join what the queries find in the tree: pairs (member, lowest member linked to it). What is found
-    counts if ``same`` holds for the two."""
+    """Links that join what the queries find in the tree: pairs (member, lowest member linked to it)."""
     bk = BKTree()
     for v in tree:
         bk.add(v)
@@ -151,11 +154,62 @@ def shard_links(
     for v in queries:
         for u in bk.within(v, radius):
             a, b = _root(parent, u), _root(parent, v)
-            if a != b and (same is None or same(u, v)):
+            if a != b:
                 parent[max(a, b)] = min(a, b)
     return [(x, r) for x in parent if (r := _root(parent, x)) != x]
 
 
+def shard_candidates(
+    tree: list[int], queries: list[int], reach: int, maybe: Callable[[int, int], bool],
+) -> list[tuple[int, int, bool]]:
+    """All pairs (greater, lesser) that the queries find in the tree and that may be alike; true marks some that span
+    them."""
+    bk = BKTree()
+    for v in tree:
+        bk.add(v)
+    parent: dict[int, int] = {}
+    out = []
+    for v in queries:
+        for u in bk.within(v, reach):
+            if u != v and maybe(u, v):
+                a, b = _root(parent, u), _root(parent, v)
+                parent[max(a, b)] = min(a, b)
+                out.append((max(u, v), min(u, v), a != b))
+    return out
+
+
+def jaccard(a: bytes | None, b: bytes | None, size: int) -> float:
+    """The Jaccard index of the sets of shingles of ``size`` words (fewer words: one shingle)."""
+    x, y = (set(zip(*(w[i:] for i in range(size)), strict=False)) or {tuple(w)}
+            for w in ((t or b"").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def alike_links(candidates: DataFrame, texts: DataFrame, alike: float, size: int) -> DataFrame:
+    """(a, b) links among (a, b, span) candidates that connect all whose ``texts`` (fp, text) are ``alike``."""
+    candidates = materialize(candidates.groupBy("a", "b").agg(F.max("span").alias("span")), "candidates")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("a", "b")
+        for c in ("a", "b"):
+            both = both.join(texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")), c)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                keep = [jaccard(x, y, size) >= alike for x, y in zip(frame["text_a"], frame["text_b"], strict=True)]
+                yield frame.loc[keep, ["a", "b"]]
+
+        return materialize(both.mapInPandas(run, "a long, b long"), "alike")
+
+    first = counted(candidates.filter("span"))
+    joined = materialize(components(first), "joined")
+    rest = candidates.filter("not span")
+    for c in ("a", "b"):
+        rest = rest.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left")
+    rest = rest.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b"))
+    return first.union(counted(rest))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -165,8 +219,8 @@ def links(
 ) -> DataFrame:
     """(a, b) links between the different fingerprints ``fp`` (signed longs): they span what lies within the radius.
 
-    With ``alike``, ``prints`` also has ``sig`` and only pairs of that similarity are linked; ``reach`` bits (by default
-    the radius) make a candidate.
+    With ``alike``, ``prints`` also has ``sig``, and (a, b, span) candidates for a link are returned: all that meet within
+    ``reach`` bits (by default the radius) and whose signatures don't rule that similarity out.
     """
     reach = radius if reach is None else reach
     carried = ["fp"] if alike is None else ["fp", "sig"]
@@ -215,21 +269,27 @@ def links(
         tree, query = frame["in_tree"].tolist(), frame["in_query"].tolist()
         sig = None if alike is None else dict(zip(fp, frame["sig"], strict=True))
 
-        def same(x: int, y: int) -> bool:
-            return sig is None or similarity(sig[x], sig[y]) >= alike
+        def maybe(x: int, y: int) -> bool:
+            return similarity(sig[x], sig[y]) >= alike - SLACK
 
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         ends = [0, *cut.tolist(), len(fp)]
         for a, b in zip(ends, ends[1:], strict=False):
-            if b - a == 2 and tree[a] and tree[a + 1] and query[a]:
-                if (fp[a] ^ fp[a + 1]).bit_count() <= reach and same(fp[a], fp[a + 1]):
+            if sig is not None and b - a > 1:
+                out.extend(shard_candidates([fp[i] for i in range(a, b) if tree[i]],
+                                            [fp[i] for i in range(a, b) if query[i]], reach, maybe))
+            elif b - a == 2 and tree[a] and tree[a + 1] and query[a]:
+                if (fp[a] ^ fp[a + 1]).bit_count() <= reach:
                     out.append((fp[a], fp[a + 1]))
             elif b - a > 1:
                 out.extend(shard_links([fp[i] for i in range(a, b) if tree[i]],
-                                       [fp[i] for i in range(a, b) if query[i]], reach, same))
-        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                                       [fp[i] for i in range(a, b) if query[i]], reach))
+        pairs = np.array([x[:2] for x in out], np.uint64).reshape(-1, 2).view(np.int64)
+        made = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return made if sig is None else made.assign(span=np.array([x[2] for x in out], bool))
 
+    if alike is not None:
+        return flat.mapInPandas(search, "a long, b long, span boolean")
     return flat.mapInPandas(search, "a long, b long").distinct()
 
 
@@ -286,7 +346,8 @@ def near_duplicates(
         return [{"fp": f, "sig": s} for f, s in zip(found, signatures(texts, alike_words), strict=True)]
 
     names = docs.columns if keep is None else keep
-    carried = [*names, *[c for c in [key] if c not in names]]
+    carried = [*names, *[c for c in [key, *([] if alike is None else [text])] if c not in names]]
+    carried = list(dict.fromkeys(carried))
     fields = "fp long" if alike is None else "fp long, sig binary"
     prints = rows_with(docs, text, make, fields, carried).select("row", "out.*")
     prints = materialize(prints.select("*", F.xxhash64("row", F.monotonically_increasing_id()).alias("tie")),
@@ -297,7 +358,13 @@ def near_duplicates(
     made = [F.min(order).alias("head")] if alike is None else [
         F.min(order).alias("head"), F.min_by("sig", order).alias("sig")]
     heads = materialize(prints.groupBy("fp").agg(*made), "heads")
-    joined = components(links(heads.drop("head"), radius, bands, reach, alike))
+    found = links(heads.drop("head"), radius, bands, reach, alike)
+    if alike is not None:
+        at = heads.select(F.col("fp").alias("f"), F.col("head.tie").alias("t"))
+        texts = prints.join(at, (prints["fp"] == at["f"]) & (prints["tie"] == at["t"])).select(
+            "fp", F.col(f"row.`{text}`").cast("binary").alias("text"))
+        found = alike_links(found, texts, alike, alike_words)
+    joined = components(found)
     named = heads.join(joined, heads["fp"] == joined["node"], "left").select(
         "fp", "head", F.coalesce("component", "fp").alias("group"))
     best = materialize(named.groupBy("group").agg(F.min("head").alias("best")).withColumnRenamed("group", "g"), "best")

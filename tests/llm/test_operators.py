@@ -247,6 +247,26 @@ def test_near_duplicates_need_the_similarity_too(spark):
     assert loose < 20
 
 
+def test_near_duplicates_are_decided_by_exact_similarity(spark):
+    rng = random.Random(11)
+    texts = []
+    for share in range(60):  # pairs of one replaced passage, 0.70 to 0.90 alike
+        base = [f"w{share}_{i}" for i in range(400)]
+        n = 20 + share
+        at = rng.randrange(400 - n)
+        texts += [base, [*base[:at], *[f"x{share}_{i}" for i in range(n)], *base[at + n:]]]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.near_duplicates(docs, "text", "doc_id", 3, 16, 18, reach=16, alike=0.8, keep=["doc_id"])
+    got = {r["doc_id"]: r["component"] for r in found.select("row.doc_id", "component").collect()}
+    want = {}
+    for i in range(0, len(texts), 2):
+        x, y = shingle_set(texts[i]), shingle_set(texts[i + 1])
+        near = (simhash.fingerprint(texts[i].encode()) ^ simhash.fingerprint(texts[i + 1].encode())).bit_count() <= 16
+        want |= {i: i, i + 1: i if near and len(x & y) / len(x | y) >= 0.8 else i + 1}
+    assert got == want and 10 < sum(i != c for i, c in want.items()) < 50
+
+
 def test_base_spans_and_redaction(spark):
     texts = ["mail a.b@c.de, 4539 1488 0343 6467 and +1 (743) 555-3824", "1.2.3.4 999.1.1.1 1.2.3.4.5", "é x@y.z é",
              None, "", "a@b.c-x%y@d.e +12 4539148803436468", "9" * 20_000, "4539148803436467 4539148803436467"]
