@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, lines, packing, pages, pii, repetition, sharding, simhash, toxicity
+from . import (
+    decontamination,
+    filter_audit,
+    language_model,
+    lines,
+    packing,
+    pages,
+    pii,
+    repetition,
+    secret_scan,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +174,99 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, "text", model, ["doc_id"]).select(
         "row.doc_id", (id_crc(F.col("row.doc_id")) % 4 == 2).alias("held_out"), "out.score",
         (F.col("out.score") >= 0.3).cast("int").alias("predicted"), F.size("out.segments").alias("n_segments"))
+
+
+@query(r"""
+WITH one AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+first AS (SELECT t, min(doc_id) AS first_id FROM one GROUP BY t),
+label AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS tox
+          FROM labels GROUP BY doc_id),
+doc AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(tox, false) AS tox,
+         (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::int
+         + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first_id, false)::int AS fails
+  FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM one) JOIN first USING (t)
+  LEFT JOIN label USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (tox) AS n_tox
+           FROM doc GROUP BY part, fails),
+subsets AS (
+  SELECT part, s, coalesce(sum(n) FILTER (fails & s = 0), 0)::bigint AS n,
+         coalesce(sum(n_good) FILTER (fails & s = 0), 0)::bigint AS g,
+         coalesce(sum(n_tox) FILTER (fails & s = 0), 0)::bigint AS x
+  FROM counts, (SELECT unnest(range(32)) AS s) GROUP BY part, s),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o
+           FROM letter a, letter b, letter c, letter d, letter e
+           WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT o, step, (1 << (ascii(o[step]) - 65)) AS bit,
+         list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65)))::bigint AS prior
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+walk AS (
+  SELECT a.part, o AS filter_order, step, bit, b.n AS kept, a.n - b.n AS removed, z.n - y.n - (a.n - b.n) AS redundant,
+         u.n - v.n AS unique_fails, a.g - b.g AS good_lost, a.x - b.x AS toxic_lost
+  FROM steps JOIN subsets a ON a.s = prior JOIN subsets b ON b.part = a.part AND b.s = prior + bit
+  JOIN subsets z ON z.part = a.part AND z.s = 0 JOIN subsets y ON y.part = a.part AND y.s = bit
+  JOIN subsets u ON u.part = a.part AND u.s = 31 - bit JOIN subsets v ON v.part = a.part AND v.s = 31)
+SELECT part, filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley
+FROM walk
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.text_failures(table(spark, sf_dir, "documents"), "text", "doc_id", "lang")
+    marked = filter_audit.with_labels(failed, table(spark, sf_dir, "labels"), "doc_id", good="quality", toxic="toxic")
+    return filter_audit.interactions(filter_audit.survivors(marked))
+
+
+@query()
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    counts = [F.size(F.filter("out.base", _of_kind(i))).cast("long").alias(f"n_{k}")
+              for i, k in enumerate(secret_scan.KINDS[:secret_scan.BASE_KINDS])]
+    return out.select("row.doc_id", *counts, F.sha2(secret_scan.written(F.col("out.base")), 256).alias("base_sha256"),
+                      secret_scan.written(F.col("out.spans")).alias("spans"))
+
+
+def _of_kind(i: int) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == i
+
+
+@query(rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, r, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[a-zÀ-ÿ]+')) AS r
+        FROM documents)
+  WHERE length(r) >= 7 GROUP BY doc_id, r),
+coded AS (SELECT r, c, hex(encode(coalesce(doc_id::varchar, '') || ':' || r)) AS x FROM run),
+-- crc32 as one fold: each byte is followed by eight shifts, written as -1.
+hashed AS (
+  SELECT r, c, xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(x), 2), lambda i:
+      [16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1,
+       -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END),
+    4294967295) AS h
+  FROM coded),
+word AS (
+  SELECT word, sum(c)::bigint AS n
+  FROM (SELECT c, CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS d
+        FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM word)),
+pair AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word.word, cut.word, cut.n FROM word JOIN cut ON word.word = d
+  UNION SELECT cut.word, word.word, word.n FROM word JOIN cut ON word.word = d),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS m FROM pair GROUP BY word),
+top AS (SELECT word, min(near) AS near FROM pair JOIN best USING (word) WHERE near_n = m GROUP BY word),
+out AS (SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form,
+               CASE WHEN m >= 10 * n THEN m END AS form_n
+        FROM word LEFT JOIN best ON word.word = best.word LEFT JOIN top ON word.word = top.word),
+walk AS (SELECT word, word AS last FROM out
+         UNION ALL SELECT walk.word, form FROM walk JOIN out ON walk.last = out.word WHERE form IS NOT NULL)
+SELECT out.word, out.form, last AS root, out.n, out.n_near, out.form_n
+FROM out JOIN walk ON out.word = walk.word JOIN out other ON other.word = last WHERE other.form IS NULL
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), "text", "doc_id").select(
+        "word", "form", "root", "n", "n_near", "form_n")
