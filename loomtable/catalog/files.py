@@ -51,8 +51,8 @@ def csv_inferred(spark, sf):
     return inferred.withColumn("id", F.col("id").cast("bigint"))
 
 
-def quarantine_input(spark, sf):
-    """Customer lines in CSV; some have a bad number, some a field too many."""
+def quarantine_lines(spark, sf):
+    """Folder of customer lines in CSV; some have a bad number, some a field too many. One file has the header."""
     key = F.col("c_custkey")
     balance = F.when(key % 7 == 0, "not_a_number").otherwise(F.col("c_acctbal").cast("string"))
     line = F.concat_ws(",", key.cast("string"), "c_name", F.col("c_nationkey").cast("string"), balance)
@@ -62,7 +62,7 @@ def quarantine_input(spark, sf):
     lines = table(spark, sf, "customer").select(F.concat(line, extra).alias("value"))
     head = spark.range(1).select(F.lit(header).alias("value"))
     sinks.write_text(head.unionAll(lines), path)
-    return read_quarantined(spark, path, PEOPLE_FILE)
+    return path
 
 
 @query("""
@@ -70,7 +70,7 @@ SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
 WHERE c_custkey % 7 <> 0 AND c_custkey % 10 <> 0
 """)
 def csv_usable(spark, sf):
-    usable, _ = quarantine_input(spark, sf)
+    usable, _ = read_quarantined(spark, quarantine_lines(spark, sf), PEOPLE_FILE)
     return usable.drop("source_filename")
 
 
@@ -79,10 +79,47 @@ SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal F
 WHERE c_custkey % 7 = 0 OR c_custkey % 10 = 0
 """)
 def csv_malformed(spark, sf):
-    _, malformed = quarantine_input(spark, sf)
+    _, malformed = read_quarantined(spark, quarantine_lines(spark, sf), PEOPLE_FILE)
     return malformed.filter(F.col("source_filename").endswith(".txt")).select("c_custkey", "c_acctbal")
 
 
+@query("""
+SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
+WHERE c_custkey % 7 <> 0 AND c_custkey % 10 <> 0
+""")
+def csv_drop_malformed(spark, sf):
+    """Lines that do not fit are dropped by the reader, the header among them."""
+    return read_delimited(spark, quarantine_lines(spark, sf), PEOPLE_FILE, mode="DROPMALFORMED")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def csv_fail_fast(spark, sf):
+    """A clean export read in the mode that ends at the first malformed line."""
+    path = scratch_path(spark, "csv")
+    sinks.export_csv(customer_columns(spark, sf), path)
+    rows = read_delimited(spark, path, PEOPLE_FILE, header=True, mode="FAILFAST")
+    return rows.select("c_custkey", "c_acctbal")
+
+
+@query("""
+SELECT c_custkey, 'é "' || c_name || '",' || chr(10) || '2' AS c_name,
+       CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, c_custkey % 7 = 0 AS malformed
+FROM customer
+""")
+def csv_records(spark, sf):
+    """ISO-8859-1 records with quotes and line breaks inside fields; some have a bad number. Both parts of the split."""
+    key = F.col("c_custkey")
+    balance = F.when(key % 7 == 0, "not_a_number").otherwise(F.col("c_acctbal").cast("string"))
+    name = F.concat(F.lit('é "'), "c_name", F.lit('",\n2'))
+    path = scratch_path(spark, "records")
+    table(spark, sf, "customer").select(key, name.alias("c_name"), "c_nationkey", balance.alias("c_acctbal")).write.csv(
+        path, header=True, encoding="ISO-8859-1", escape='"')
+    usable, malformed = read_quarantined(spark, path, PEOPLE_FILE, encoding="ISO-8859-1", multi_line=True)
+    kept = ["c_custkey", "c_name", "c_acctbal"]
+    return usable.select(*kept, F.lit(False).alias("malformed")).unionByName(
+        malformed.select(*kept, F.lit(True).alias("malformed")))
+
+
 @query("""
 SELECT c_mktsegment, c_custkey, c_acctbal FROM customer
 """)
@@ -159,7 +196,7 @@ def text_single_file(spark, sf):
 
 
 @query("""
-SELECT CAST(l_partkey AS INTEGER) AS movie_id,
+SELECT l_partkey AS movie_id,
        coalesce(any_value('é ' || p_name), 'unknown') AS movie_name, count(*) AS rating_count
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) p ON l_partkey = p_partkey GROUP BY l_partkey
 """)
@@ -167,7 +204,7 @@ def most_rated_titles(spark, sf):
     """Tab-separated ratings and pipe-separated ISO-8859-1 titles."""
     ratings_path, titles_path = scratch_path(spark, "ratings"), scratch_path(spark, "titles")
     ratings = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").cast("int"), F.col("l_partkey").cast("int"), F.col("l_quantity"), F.lit(0)
+        "l_orderkey", "l_partkey", "l_quantity", F.lit(0)
     )
     ratings.write.csv(ratings_path, sep="\t")
     titles = table(spark, sf, "part").filter(F.col("p_size") < 30).select(

@@ -114,20 +114,21 @@ def date_functions(spark, sf):
 
 
 @query("""
-SELECT doc_id, i - 1 AS position, nullif(w[i], '') AS line FROM (
+SELECT 'documents' AS origin, doc_id AS id, i - 1 AS position, nullif(w[i], '') AS line FROM (
   SELECT doc_id, string_split(text, chr(10)) AS w FROM documents), unnest(range(1, len(w) + 1)) AS r(i)
 UNION ALL
-SELECT e.event_id + 1000000000 AS doc_id, NULL, NULL FROM events e WHERE event_type = 'error'
+SELECT 'events', event_id, NULL, NULL FROM events WHERE event_type = 'error'
 """)
 def explode_outer_pos(spark, sf):
     """Lines of every document by position; rows without an array survive as nulls."""
-    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = table(spark, sf, "documents").select(
+        F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
     empty = table(spark, sf, "events").filter(F.col("event_type") == "error").select(
-        (F.col("event_id") + 1_000_000_000).alias("doc_id"), F.array().cast("array<string>").alias("lines")
+        F.lit("events").alias("origin"), F.col("event_id").alias("id"), F.array().cast("array<string>").alias("lines")
     )
-    exploded = docs.unionAll(empty).select("doc_id", F.posexplode_outer("lines").alias("position", "line"))
+    exploded = docs.unionAll(empty).select("origin", "id", F.posexplode_outer("lines").alias("position", "line"))
     return exploded.select(
-        "doc_id", F.col("position").cast("bigint").alias("position"),
+        "origin", "id", F.col("position").cast("bigint").alias("position"),
         F.nullif("line", F.lit("")).alias("line"),
     )
 
@@ -149,7 +150,7 @@ def json_extract(spark, sf):
 
 
 @query("""
-SELECT CAST(c_custkey AS INTEGER) AS customer_id,
+SELECT c_custkey AS customer_id,
        CASE WHEN c_custkey % 5 <> 0 THEN n_name END AS customer_city
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)

@@ -90,6 +90,14 @@ def to_long(value: Column) -> Column:
     return F.coalesce(value.try_cast("long"), keep_if(whole, F.contains(value, F.lit("."))))
 
 
+def strict_long(text: Column) -> Column:
+    """64-bit id as it stands. Text that is no whole number is null; a whole number beyond 64 bits is an error, since
+    as a null it would meet every other such id."""
+    value = text.try_cast("long")
+    too_large = value.isNull() & text.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return F.when(too_large, F.raise_error(F.concat(F.lit("id beyond 64 bits: "), text))).otherwise(value)
+
+
 def to_decimal(amount: Column, precision: int = 12, scale: int = 2) -> Column:
     """Number from an amount text.
 

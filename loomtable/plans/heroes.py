@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtable.functions.cleaning import strict_long
 from loomtable.operators.aggregates import rows_at_minimum
 
 
@@ -12,7 +13,7 @@ def connections(lines: DataFrame) -> DataFrame:
     """Total connections per id; each line is an id followed by the ids it meets."""
     line = F.col("value")
     per_line = lines.select(
-        F.regexp_extract(line, r"^\s*(\S+)", 1).try_cast("bigint").alias("id"),
+        strict_long(F.regexp_extract(line, r"^\s*(\S+)", 1)).alias("id"),
         (F.regexp_count(line, F.lit(r"\S+")) - 1).alias("connections"),
     )
     known = per_line.filter(F.col("id").isNotNull())

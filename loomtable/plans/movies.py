@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtable import schemas
+from loomtable.functions.cleaning import strict_long
 from loomtable.operators.joins import lookup_with_default
 from loomtable.operators.similarity import similar_items
-from loomtable.sources import read_delimited
+from loomtable.sources import read_with_ids
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated user, movie, rating, timestamp."""
-    return read_delimited(spark, path, schemas.RATINGS, sep="\t")
+    """Tab-separated user, movie, rating, timestamp. An id beyond 64 bits is an error."""
+    return read_with_ids(spark, path, schemas.RATINGS, ["user_id", "movie_id"], sep="\t")
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-separated, ISO-8859-1 titles: the first two fields are id and name."""
+    """Pipe-separated, ISO-8859-1 titles: the first two fields are id and name. An id beyond 64 bits is an error."""
     raw = spark.read.csv(path, sep="|", encoding="ISO-8859-1")
-    return raw.select(
-        F.col("_c0").try_cast("int").alias("movie_id"), F.col("_c1").alias("movie_name")
-    )
+    return raw.select(strict_long(F.col("_c0")).alias("movie_id"), F.col("_c1").alias("movie_name"))
 
 
 def most_rated(ratings: DataFrame, titles: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Explicit schemas of the supported inputs and curated tables.
 
-The column names, their order and their types are fixed formats.
+The column names, their order and their types are fixed formats; ids are 64-bit.
 """
 
 from __future__ import annotations
@@ -33,17 +33,17 @@ def strings(*names: str) -> StructType:
     return columns(**dict.fromkeys(names, TEXT))
 
 
-PEOPLE = columns(id=INT, name=TEXT, age=REAL, city=TEXT)
-CSV_PEOPLE = columns(id=INT, name=TEXT, age=INT)
+PEOPLE = columns(id=LONG, name=TEXT, age=REAL, city=TEXT)
+CSV_PEOPLE = columns(id=LONG, name=TEXT, age=INT)
 SALES_FILE = columns(product_id=TEXT, name=TEXT, category=TEXT, price=REAL, quantity=INT)
-CUSTOMER_ORDERS = columns(customer_id=INT, order_id=INT, amount=REAL)
-FRIENDS = columns(id=INT, name=TEXT, age=INT, friends=INT)
-RATINGS = columns(user_id=INT, movie_id=INT, rating=REAL, timestamp=LONG)
-HERO_NAMES = columns(id=INT, name=TEXT)
+CUSTOMER_ORDERS = columns(customer_id=LONG, order_id=LONG, amount=REAL)
+FRIENDS = columns(id=LONG, name=TEXT, age=INT, friends=INT)
+RATINGS = columns(user_id=LONG, movie_id=LONG, rating=REAL, timestamp=LONG)
+HERO_NAMES = columns(id=LONG, name=TEXT)
 WEATHER = columns(station_id=TEXT, date=INT, type=TEXT, value=FloatType())
-CUSTOMER_JSON = columns(customer=columns(id=INT, city=TEXT))
-ETL_ORDERS = columns(order_id=INT, customer_id=INT, date=TEXT, amount=REAL)
-ETL_CUSTOMERS = columns(customer_id=INT, city=TEXT, segment=TEXT)
+CUSTOMER_JSON = columns(customer=columns(id=LONG, city=TEXT))
+ETL_ORDERS = columns(order_id=LONG, customer_id=LONG, date=TEXT, amount=REAL)
+ETL_CUSTOMERS = columns(customer_id=LONG, city=TEXT, segment=TEXT)
 
 RAW_ORDERS = strings(
     "order_id", "customer_id", "product_id", "order_date", "ship_date", "quantity",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -53,17 +55,42 @@ def create_database(spark: SparkSession, database: str, location: str | None = N
 
 
 def save_table(df: DataFrame, database: str, name: str, fmt: str = "parquet") -> str:
-    """Replace the named table, creating its database if needed."""
-    create_database(df.sparkSession, database)
-    full = f"{database}.{name}"
-    df.write.mode("overwrite").format(fmt).saveAsTable(full)
+    """Replace the named table by ``df``, creating its database if needed.
+
+    The rows are first written whole as a table of another name, then the two are swapped by renaming. So a run that
+    fails, on a bad row or otherwise, leaves the old table as it was, and ``df`` may read the table it replaces.
+    """
+    spark = df.sparkSession
+    create_database(spark, database)
+    full, staged = f"{database}.{name}", f"{database}.{name}_staged_{uuid.uuid4().hex}"
+    try:
+        df.write.format(fmt).saveAsTable(staged)
+        _swap(spark, staged, full)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
     return full
 
 
+def _swap(spark: SparkSession, staged: str, full: str) -> None:
+    """Give the staged table the name of the other, which goes only when that is done."""
+    if not spark.catalog.tableExists(full):
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {full}")
+        return
+    old = f"{full}_old_{uuid.uuid4().hex}"
+    spark.sql(f"ALTER TABLE {full} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {full}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {full}")
+        raise
+    spark.sql(f"DROP TABLE {old}")
+
+
 def reload_table(
     spark: SparkSession, csv_path: str, database: str, name: str, schema: StructType
 ) -> str:
-    """Idempotent load of an exported CSV folder: replace the table, abort on bad rows.
+    """Idempotent load of an exported CSV folder: replace the table, abort on bad rows and keep the old table then.
 
     Bad are: a short or long row, a value that does not fit, a file with another header, a missing target column.
     """

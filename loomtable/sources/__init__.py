@@ -9,5 +9,6 @@ from .delimited import (  # noqa: F401
     read_lines,
     read_quarantined,
     read_raw,
+    read_with_ids,
 )
 from .local import from_pandas, from_rows, number_range, register_view  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtable import schemas, sinks
 from loomtable.plans import retail, reports
-from loomtable.sources import (drop_header, parse_lines, read_delimited, read_exported, read_lines,
+from loomtable.sources import (drop_header, parse_lines, read_delimited, read_exported, read_inferred, read_lines,
                                read_quarantined)
 from loomtable.streaming import events as stream
 
@@ -30,6 +30,39 @@ def test_quarantine(spark, rows, csv_folder):
     assert rows(usable.select("source_filename").distinct()) == [("part_1.csv",), ("part_2.csv",)]
 
 
+def test_quarantine_of_records_over_several_lines(spark, rows, tmp_path):
+    body = 'id,name,age\n7,"Inés\nMaría ""I""",61\n8,"a, b",x\n"id","name","age"\n9,one,2,3\n10,"é",5\n11,short\n'
+    (tmp_path / "latin.csv").write_bytes(body.encode("ISO-8859-1"))
+    usable, bad = read_quarantined(
+        spark, str(tmp_path / "latin.csv"), schemas.CSV_PEOPLE, encoding="ISO-8859-1", multi_line=True)
+    assert rows(usable, "id", "name", "age") == [(10, "é", 5), (7, 'Inés\nMaría "I"', 61)]
+    assert rows(bad, "id", "name", "age") == [(11, "short", None), (8, "a, b", None), (9, "one", 2)]
+    assert rows(bad, "_corrupt_record") == [("11,short",), ('8,"a, b",x',), ("9,one,2,3",)]
+    assert (usable.count(), bad.select("id").count()) == (2, 3)
+
+
+def test_quarantine_of_text_columns(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,\nid,name\n,\n")
+    usable, bad = read_quarantined(spark, str(tmp_path / "a.csv"), schemas.strings("id", "name"))
+    assert rows(usable, "id", "name") == [(None, None), ("1", None)] and bad.isEmpty()
+
+
+def test_inferred_types_are_checked_in_every_row(spark, rows, tmp_path):
+    early = "".join(f"{i},{i}.5,2024-01-0{i % 9 + 1},t{i},{3_000_000_000 + i},true,\n" for i in range(20))
+    (tmp_path / "a.csv").write_text("a,b,c,d,e,f,g\n" + early)
+    df = read_inferred(spark, str(tmp_path / "a.csv"))
+    assert df.dtypes == [("a", "int"), ("b", "double"), ("c", "date"), ("d", "string"), ("e", "bigint"),
+                         ("f", "boolean"), ("g", "string")]
+    assert df.count() == 20 and df.agg(F.sum("e")).first()[0] == 60_000_000_190
+    for late in ("x,1,2024-01-01,t,1,true,", "1,1,2024-02-30,t,1,true,", "5000000000,1,,,,,"):
+        (tmp_path / "b.csv").write_text("a,b,c,d,e,f,g\n" + early + late + "\n")
+        with pytest.raises(Exception, match="was inferred as"):
+            read_inferred(spark, str(tmp_path / "b.csv"), sample_rows=20).collect()
+        assert read_inferred(spark, str(tmp_path / "b.csv")).count() == 21  # a whole sample widens the type
+    (tmp_path / "c.csv").write_text("a,b\n")
+    assert read_inferred(spark, str(tmp_path / "c.csv")).dtypes == [("a", "string"), ("b", "string")]
+
+
 def test_parse_modes(spark, csv_folder):
     lines = drop_header(read_lines(spark, f"{csv_folder}/part_2.csv"), "id,name,age")
     assert lines.count() == 3
@@ -38,6 +71,11 @@ def test_parse_modes(spark, csv_folder):
         strict.collect()
     dropped = read_delimited(spark, f"{csv_folder}/part_2.csv", schemas.CSV_PEOPLE, header=True, mode="DROPMALFORMED")
     assert [tuple(r) for r in dropped.collect()] == [(9, "Wu", 44)]
+    # The number of fields counts, whichever column is selected.
+    assert [tuple(r) for r in dropped.select("id").collect()] == [(9,), (10,)]
+    strict = read_delimited(spark, f"{csv_folder}/part_2.csv", schemas.CSV_PEOPLE, header=True, mode="FAILFAST")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        strict.select("id").collect()
 
 
 def test_single_file_or_an_error(spark, tmp_path):
@@ -130,6 +168,33 @@ def test_reload_aborts_on_bad_rows(spark, tmp_path, body, error):
         sinks.reload_table(spark, str(tmp_path / "x.csv"), "default", "bad_load", schemas.CSV_PEOPLE)
 
 
+def test_aborted_reload_keeps_the_old_table(spark, rows, tmp_path):
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    good.write_text("id,name,age\n1,a,2\n2,b,3\n")
+    bad.write_text("id,name,age\n" + "".join(f"{i},x,1\n" for i in range(1000)) + "1,a,2,long\n")
+    sinks.create_database(spark, "kept", str(tmp_path / "kept"))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        sinks.reload_table(spark, str(bad), "kept", "people", schemas.CSV_PEOPLE)
+    assert not spark.catalog.listTables("kept")
+    for _ in range(2):
+        sinks.reload_table(spark, str(good), "kept", "people", schemas.CSV_PEOPLE)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            sinks.reload_table(spark, str(bad), "kept", "people", schemas.CSV_PEOPLE)
+        assert rows(spark.table("kept.people")) == [(1, "a", 2), (2, "b", 3)]
+        assert [t.name for t in spark.catalog.listTables("kept")] == ["people"]
+    # A table may be replaced by rows read from itself.
+    sinks.save_table(spark.table("kept.people").filter("id = 2"), "kept", "people")
+    assert rows(spark.table("kept.people")) == [(2, "b", 3)]
+
+
+def test_failed_swap_keeps_the_old_table(spark, rows, tmp_path):
+    sinks.create_database(spark, "swapped", str(tmp_path / "swapped"))
+    sinks.save_table(spark.range(3).toDF("id"), "swapped", "t")
+    with pytest.raises(Exception, match="(?i)not.found|cannot be found"):
+        sinks._swap(spark, "swapped.missing", "swapped.t")
+    assert rows(spark.table("swapped.t")) == [(0,), (1,), (2,)]
+
+
 def test_reload_aborts_on_a_file_with_another_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name,age\n1,a,2\n")
     (tmp_path / "b.csv").write_text("id,age,name\n1,2,a\n")

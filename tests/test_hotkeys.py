@@ -9,7 +9,7 @@ from math import sqrt
 import pytest
 from pyspark.sql import functions as F
 
-from loomtable.operators import windows
+from loomtable.operators import similarity, windows
 from loomtable.operators.hotkeys import BLOCK, in_blocks
 from loomtable.operators.similarity import item_similarity, similar_items
 
@@ -45,7 +45,7 @@ def test_blocks(spark, events):
         assert len({b for b, _, _ in got}) > 3
         by_place = sorted(got, key=lambda g: g[1:])
         assert [b for b, _, _ in by_place] == sorted(b for b, _, _ in by_place)
-    assert in_blocks(events, ["user"], ["ts", "id"], 10**9)[1].isEmpty()
+    assert in_blocks(events, ["user"], ["ts", "id"], 10**9)[1] is None
 
 
 def test_no_block_holds_a_whole_hot_group(spark):
@@ -60,17 +60,36 @@ def test_no_block_holds_a_whole_hot_group(spark):
                          & (F.col("row_number") == F.col("id") + 1)).count() == 20_000
 
 
-def test_no_job_while_the_query_is_built(spark, events):
+def test_jobs_while_a_query_is_built(spark, events):
+    """Looking for hot keys is a small job; the others build a plan only."""
     tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("built", "")
-    windows.running_total(events, ["user"], ["ts", "id"], "value")
-    windows.neighbours(events, ["user"], ["ts", "id"], "value")
-    windows.rank_compare(events, ["user"], "value", ["id"])
-    windows.top_with_ties(events, ["user"], "value")
-    windows.sessionize(events, "user", "ts")
-    item_similarity(events.withColumn("rating", F.lit(1.0)), "user", "id", "rating")
-    assert not tracker.getJobIdsForGroup("built")
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    def jobs(name, build):
+        spark.sparkContext.setJobGroup(name, "")
+        build()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs("ties", lambda: windows.top_with_ties(events, ["user"], "value")) == 0
+    rated = events.withColumn("rating", F.lit(1.0))
+    assert jobs("similar", lambda: item_similarity(rated, "user", "id", "rating")) == 0
+    assert jobs("total", lambda: windows.running_total(events, ["user"], ["ts", "id"], "value")) <= 4  # head() looks at some partitions first
+
+
+def test_plan_without_hot_keys_is_the_plain_window(spark, events):
+    text = windows.running_total(events, ["user"], ["ts", "id"], "value")._jdf.queryExecution().toString()
+    assert "Window" in text and "Join" not in text and "Union" not in text
+
+
+def test_many_blocks_of_one_key(spark):
+    """Two thousand blocks give what one window gives."""
+    same = spark.range(40_000).select(F.lit(1).alias("user"), (F.col("id") * 7919 % 40_000).alias("at"),
+                                      (F.col("id") % 101).alias("value"))
+    totals = windows.running_total(same, ["user"], ["at"], "value", step=20)
+    plain = windows.running_total(same, ["user"], ["at"], "value")
+    assert totals.exceptAll(plain).isEmpty() and totals.count() == 40_000
+    _, hot = in_blocks(same, ["user"], ["at"], 20)
+    assert 1000 < hot.select(BLOCK).distinct().count() < 4000
 
 
 def test_running_total(events, rows):
@@ -190,3 +209,18 @@ def test_similar_to_one_item(spark, skewed_ratings):
     want = {a + b - 7: v for (a, b), v in brute_similarity(skewed_ratings, 2, 0.5).items() if 7 in (a, b)}
     got = similar_items(df, "u", "i", "r", 7, min_pairs=2, min_score=0.5)
     assert {p.similar_item: (round(p.score, 9), p.num_pairs) for p in got.collect()} == want
+
+
+def test_a_hot_user_makes_no_pairs_that_the_limit_rules_out(spark):
+    """One user rated 400 items, which two others rated a few of: 79,800 pairs, of which few can have two raters."""
+    rng = random.Random(4)
+    data = [(0, i, 1.0) for i in range(400)]
+    data += [(u, i, 2.0) for u in range(1, 30) for i in rng.sample(range(400), 6)]
+    df = spark.createDataFrame(data, "_user INT, _item INT, _rating DOUBLE")
+    everything = similarity._same_user_pairs(similarity._sized(df), 50).count()
+    kept, left_out = similarity._without_busiest(similarity._sized(df), 2, 50)
+    built = similarity._same_user_pairs(kept, 50).count()
+    assert everything > 79_800 and built < 500
+    assert left_out.select("_user").distinct().collect() == [(0,)]
+    got = item_similarity(df, "_user", "_item", "_rating", min_pairs=2, bucket=50)
+    assert {(p.item1, p.item2): (round(p.score, 9), p.num_pairs) for p in got.collect()} == brute_similarity(data, 2, None)
