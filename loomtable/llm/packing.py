@@ -14,11 +14,12 @@ pieces, and a hot length is no heavier than others.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ CAPACITY = 4096
 MAX_NODES, MAX_DESCENTS = 4000, 24
 #: Chunks of text (between blanks) whose ids a worker remembers.
 MAX_CHUNKS = 450_000
+#: Chunks that are encoded in one call.
+PARTS_A_CALL = 5_000
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_MARKS = re.compile(r"(?<=[A-Za-zà-öø-ÿ])([.,])(?=\s)")
 
 
 @dataclass
@@ -166,24 +171,58 @@ def lookup(plan: Plan) -> dict[str, np.ndarray]:
 
 class Encoder:
     """Token ids of texts. A tokenizer that drops white space gives the ids of the parts between blanks one after
-    another, so each different part is encoded once and remembered."""
+    another, so each different part is encoded once and remembered.
+
+    Fewer parts differ without case and punctuation: where the tokenizer has A-Z in lower case, so have the parts, and
+    where it takes a point or comma behind a letter and before a blank apart, it is a part by itself. A call for each
+    part would cost as much as its encoding, so parts of letters alone go into one call together; if the tokenizer's
+    own words are not just these parts, they are encoded one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = "A", "Bc", "word", "Ünique", "xqzjk", "tokenization"
+        self.folds = all(self._one(w) == self._one(w.encode().translate(_LOWER).decode()) for w in words)
+        self.separates = all(
+            self._one(f"{w}{c} {v}") == self._one(w) + self._one(c) + self._one(v)
+            for w in words for v in words for c in ".,")
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, new: list[str]) -> None:
+        letters = [w for w in new if w.isalpha()]
+        for i in range(0, len(letters), PARTS_A_CALL):
+            some = letters[i: i + PARTS_A_CALL]
+            made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            word = np.array(made.word_ids, float)
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+            if len(starts) == len(some):
+                raw, at = np.array(made.ids, "<u4").tobytes(), [*(4 * starts).tolist(), 4 * len(word)]
+                self.known.update((w, raw[x:y]) for w, x, y in zip(some, at, at[1:], strict=False))
+        rest = [w for w in new if w not in self.known]
+        for i in range(0, len(rest), PARTS_A_CALL):
+            some = rest[i: i + PARTS_A_CALL]
+            for w, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = made.ids
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        """The ids of UTF-8 texts, each with ``end`` behind them."""
+        parts = []
+        for raw in texts:
+            text = (raw.translate(_LOWER) if self.folds else raw).decode("utf-8", "replace")
+            if self.separates:
+                text = _MARKS.sub(r" \1", text)
+            parts.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
+            # The newer half stays.
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         known = self.known
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        for i in range(0, len(new), 20_000):
-            some = new[i: i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self._learn(list(set(chain.from_iterable(parts)).difference(known)))
         last = np.array([end], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, p)) + last, "<u4") for p in parts]
 
@@ -218,9 +257,8 @@ def pieces(
         encoder, part, seen = _encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             for some in slices(batch, "text"):
-                texts = [t.decode("utf-8", "replace") for t in some.column("text").to_pylist()]
                 take, out, ids = [], [], []
-                for i, all_ids in enumerate(encoder.ids(texts, end)):
+                for i, all_ids in enumerate(encoder.ids(some.column("text").to_pylist(), end)):
                     for k, start in enumerate(range(0, len(all_ids), capacity)):
                         cut = all_ids[start: start + capacity]
                         nth = seen.get(len(cut), 0)
