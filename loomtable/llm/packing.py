@@ -5,7 +5,7 @@ at most ``capacity`` entries however many documents there are. Around the larges
 fillings of the rest of the sequence are enumerated; the fullest goes first and is applied to as many sequences as the
 counts allow. The first descent (always best fit) is the incumbent. If it needs more sequences than the bound (total
 length / capacity) asks for, other fillings are tried; a branch is cut when its waste exceeds what a better solution
-may waste in all.
+may waste in all. The search is bounded (WORK): it is not exhaustive, and a plan may need more sequences than the best.
 
 The plan, a few rows for each length, goes back to the pieces: numbered within their length (a counter per task and
 length, plus the counts of the tasks before), each looks up its sequence and offset. So no task ever holds a length's
@@ -17,9 +17,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ from pyspark.sql.window import Window
 from .shared import materialize, slices
 
 CAPACITY = 4096
-#: Fillings looked at for one sequence, and descents tried after the first.
-MAX_NODES, MAX_DESCENTS = 4000, 24
+#: Lengths tried for one place of a sequence, places looked at for one sequence and for a whole plan, and descents
+#: tried after the first.
+MAX_TRIED, MAX_NODES, WORK, MAX_DESCENTS = 6, 4000, 600_000, 24
 #: Chunks of text (between blanks) whose ids a worker remembers.
 MAX_CHUNKS = 450_000
 #: Chunks that are encoded in one call.
@@ -54,98 +57,134 @@ class Plan:
         return sum(n for n, _ in self.patterns)
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], spare: int, keep: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first, at most ``keep``; each with at most ``spare`` waste if any is.
+class Search:
+    """Pieces that are left, by length, and the work that may still be spent on finding fillings for them."""
 
-    ``lengths`` is sorted downwards. A filling is dominated if a longer single piece that is left could stand for one
-    of its pieces, so each is chosen as long as fits before shorter ones are tried. Stops at a full one.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    nodes = 0
-    held = np.array(lengths[::-1])
-
-    def go(rest: int, chosen: tuple[int, ...], most: int) -> bool:
-        """True when a filling without waste was found."""
-        nonlocal nodes
-        nodes += 1
-        if rest and counts.get(rest, 0) > chosen.count(rest):
-            found.append((0, (*chosen, rest)))
-            return len(found) >= keep
-        if nodes > MAX_NODES:
-            found.append((rest, chosen))
-            return True
-        start = int(np.searchsorted(held, min(rest, most), "right")) - 1
-        leaf, tried = True, 0
-        while start >= 0 and tried < 6:
-            length = int(held[start])
-            start -= 1
-            if counts[length] <= chosen.count(length):
-                continue
-            leaf, tried = False, tried + 1
-            if go(rest - length, (*chosen, length), length):
+    def __init__(self, histogram: dict[int, int], work: int):
+        self.counts, self.held, self.work = dict(histogram), sorted(histogram), work
+
+    def take(self, need: dict[int, int], times: int) -> None:
+        for v, k in need.items():
+            self.counts[v] -= k * times
+            if not self.counts[v]:
+                del self.held[bisect_left(self.held, v)]
+
+    def best_fit(self, room: int) -> tuple[int, ...]:
+        """The largest that fits, again and again."""
+        chosen: tuple[int, ...] = ()
+        at = bisect_right(self.held, room) - 1
+        while at >= 0:
+            length = self.held[at]
+            if self.counts[length] > chosen.count(length):
+                chosen, room = (*chosen, length), room - length
+                at = min(at, bisect_right(self.held, room) - 1)
+            else:
+                at -= 1
+        return chosen
+
+    def dominated(self, one: tuple[int, ...], waste: int) -> bool:
+        """Whether a longer piece that is left fits in place of one piece, or any in place of two."""
+        def stands_for(least: int, most: int) -> bool:
+            at = bisect_left(self.held, least)
+            return at < len(self.held) and (u := self.held[at]) <= most and self.counts[u] > one.count(u)
+
+        return any(stands_for(v + 1, v + waste) for v in set(one)) or any(
+            stands_for(v + w, v + w + waste) for v, w in set(combinations(one, 2)))
+
+    def fillings(self, room: int, spare: int, keep: int) -> list[tuple[int, ...]]:
+        """Undominated fillings of ``room``, fullest first, at most ``keep``; each with at most ``spare`` waste if any
+        is. At most MAX_TRIED lengths are tried for a place and MAX_NODES places in all; without work left there is
+        the best fit alone."""
+        if self.work <= 0:
+            return [self.best_fit(room)]
+        held, counts = self.held, self.counts
+        found: list[tuple[int, tuple[int, ...]]] = []
+        nodes = 0
+
+        def go(rest: int, chosen: tuple[int, ...], most: int) -> bool:
+            """True when enough fillings without waste, or too many places, were seen."""
+            nonlocal nodes
+            nodes += 1
+            if rest and counts.get(rest, 0) > chosen.count(rest):
+                found.append((0, (*chosen, rest)))
+                return len(found) >= keep
+            if nodes > MAX_NODES:
+                found.append((rest, chosen))
                 return True
-        if leaf:
-            found.append((rest, chosen))
-            return rest == 0 and len(found) >= keep
-        return False
-
-    go(room, (), room)
-    found.sort(key=lambda x: (x[0], [-v for v in x[1]]))
-    out: list[tuple[int, ...]] = []
-    for waste, one in found:
-        if one not in out and (not out or waste <= spare):
+            at, leaf, tried = bisect_right(held, min(rest, most)) - 1, True, 0
+            while at >= 0 and tried < MAX_TRIED:
+                length = held[at]
+                at -= 1
+                if counts[length] <= chosen.count(length):
+                    continue
+                leaf, tried = False, tried + 1
+                if go(rest - length, (*chosen, length), length):
+                    return True
+            if leaf:
+                found.append((rest, chosen))
+                return rest == 0 and len(found) >= keep
+            return False
+
+        go(room, (), room)
+        self.work -= nodes
+        found.sort(key=lambda x: (x[0], [-v for v in x[1]]))
+        out: list[tuple[int, ...]] = []
+        for waste, one in found:
+            if out and (one in out or waste > spare or waste and self.dominated(one, waste)):
+                continue
             out.append(one)
-        if len(out) >= keep:
-            break
-    return out
+            if len(out) >= keep:
+                break
+        return out
 
 
-def _descend(histogram: dict[int, int], capacity: int, allowed: int, turns: dict[int, int]) -> Plan | None:
+def _descend(search: Search, capacity: int, allowed: int, turns: dict[int, int]) -> Plan | None:
     """One descent. ``turns`` says at which step another filling than the best is taken; None if waste exceeds what
     is ``allowed``."""
-    counts = dict(histogram)
-    lengths = sorted(counts, reverse=True)
-    plan, wasted, step = Plan(capacity), 0, 0
-    while lengths:
-        first = lengths[0]
-        counts[first] -= 1
-        want = turns.get(step, 0)
-        options = fillings(capacity - first, lengths, counts, max(0, allowed - wasted), want + 1)
-        counts[first] += 1
-        one = options[min(want, len(options) - 1)] if options else ()
-        need: dict[int, int] = {first: 1}
-        for v in one:
-            need[v] = need.get(v, 0) + 1
-        times = min(counts[v] // k for v, k in need.items())
-        waste = capacity - sum(v * k for v, k in need.items())
-        for v, k in need.items():
-            counts[v] -= k * times
+    plan, wasted = Plan(capacity), 0
+    while search.held:
+        first = search.held[-1]
+        want = turns.get(len(plan.patterns), 0)
+        search.counts[first] -= 1
+        options = search.fillings(capacity - first, max(0, allowed - wasted), want + 1)
+        search.counts[first] += 1
+        need = Counter({first: 1})
+        need.update(options[min(want, len(options) - 1)] if options else ())
+        times = min(search.counts[v] // k for v, k in need.items())
+        search.take(need, times)
         plan.patterns.append((times, tuple(sorted(need.items(), reverse=True))))
-        wasted += waste * times
+        wasted += times * (capacity - sum(v * k for v, k in need.items()))
         # The last sequence may be part full: its waste is within the bound's own slack.
-        if wasted > allowed and any(counts[v] for v in lengths):
+        if wasted > allowed and search.held:
             return None
-        lengths = [v for v in lengths if counts[v]]
-        step += 1
     return plan
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """A plan for ``histogram`` (length: number of pieces), each length from 1 to ``capacity``."""
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, work: int = WORK) -> Plan:
+    """A plan for ``histogram`` (length: number of pieces), each length from 1 to ``capacity``.
+
+    Where the first descent misses the bound, up to MAX_DESCENTS others each take another filling at one step, the steps
+    spread over the whole plan; what saves a sequence is kept for the next. ``work`` bounds the places looked at in
+    all, half of them in the first descent, and so the time; every piece is planned in any case.
+    """
     if any(not 0 < v <= capacity for v in histogram):
         raise ValueError("a piece has a length between 1 and the capacity")
     histogram = {v: n for v, n in histogram.items() if n > 0}
     total = sum(v * n for v, n in histogram.items())
     # Pieces over half the capacity never share a sequence.
     bound = max(-(-total // capacity), sum(n for v, n in histogram.items() if 2 * v > capacity))
-    best = _descend(histogram, capacity, 1 << 62, {})
-    for turn in range(MAX_DESCENTS):
-        if best is None or best.sequences <= bound:
+    best = _descend(Search(histogram, work // 2), capacity, 1 << 62, {})
+    kept: dict[int, int] = {}
+    work //= 2
+    for i in range(MAX_DESCENTS):
+        if best.sequences <= bound or work <= 0:
             break
-        allowed = (best.sequences - 1) * capacity - total
-        other = _descend(histogram, capacity, allowed, {turn // 2: 1 + turn % 2})
+        turns = kept | {len(best.patterns) * i // MAX_DESCENTS: 1 + i % 2}
+        search = Search(histogram, work)
+        other = _descend(search, capacity, (best.sequences - 1) * capacity - total, turns)
+        work = search.work
         if other is not None and other.sequences < best.sequences:
-            best = other
+            best, kept = other, turns
     return best
 
 

@@ -168,16 +168,32 @@ def raw_text(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+def contents(every: list[tuple[Node, int]]) -> dict[int, int]:
+    """A hash of what each element reads like, by its id; 0 where it holds no text. Each element's hash is made of its
+    own texts and its children's hashes, so the time is linear in the page, however deep it is nested."""
+    out: dict[int, int] = {}
+    for node, _ in reversed(every):
+        made, empty = xxhash.xxh64(), True
+        for part in node.parts:
+            read = " ".join(part.split()) if isinstance(part, str) else out[id(part)]
+            if read:
+                made.update(f"{read}\0")
+                empty = False
+        out[id(node)] = 0 if empty else made.intdigest() >> 1
+    return out
+
+
 def variants(every: list[tuple[Node, int]]) -> dict[int, tuple[int, int]]:
     """For each container path of a page: hashes of its presentation and of its content (path included)."""
     out: dict[int, tuple[int, int]] = {}
+    reads = contents(every)
     for node, key in every:
         if node.tag not in CONTAINERS:
             continue
         tags = [x.tag for x in node.parts if isinstance(x, Node)]
         tags = [t for i, t in enumerate(tags) if not i or tags[i - 1] != t]
         look = xxhash.xxh64_intdigest(" ".join(tags)) >> 1
-        content = xxhash.xxh64_intdigest(raw_text(node)) >> 1
+        content = reads[id(node)]
         before = out.get(key, (0, key))
         out[key] = ((before[0] * 31 + look) & (2**63 - 1), (before[1] * 31 + content) & (2**63 - 1))
     return out

@@ -56,26 +56,52 @@ _MARK, _OTHER = "\ue000", "\ue001"
 _SPAN = "struct<start:int,end:int,text:string,left:string,next:string>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end, text, left, next); places count code points."""
+#: Parts of a text whose lengths are added up together.
+CHUNK = 256
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text cut before and behind each leftmost non-overlapping match: matches have the odd places."""
     clean = F.translate(text, _MARK, _OTHER)
-    parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
-    empty = F.struct(
-        F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit("").alias("left"),
-        F.lit(None).cast("string").alias("match"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"))
+    return F.split(F.regexp_replace(clean, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        one = F.struct(
-            (acc["pos"] - F.length(acc["match"])).alias("start"), acc["pos"].alias("end"), acc["match"].alias("text"),
-            acc["left"].alias("left"), F.substring(x, 1, 1).alias("next"))
-        add = ~acc["inside"] & acc["match"].isNotNull()
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _chunk_sums(lengths: str) -> Column:
+    chunks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))
+    return F.transform(chunks, lambda k: _sum(F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK))))
+
+
+def _matches(parts: str, lengths: str, sums: str) -> Column:
+    """Matches as an array of (start, end, text, left, next), from columns of parts, their lengths and the sums of
+    each CHUNK of lengths. Places count code points.
+
+    What stands before a match is the sum of the chunks before its own and of the parts before it there: an array that
+    grew match by match would be copied for each.
+    """
+    def span(i: Column) -> Column:
+        start = _sum(F.slice(sums, F.lit(1), F.floor(i / CHUNK).cast("int"))) + _sum(
+            F.slice(lengths, i - i % CHUNK + 1, i % CHUNK))
         return F.struct(
-            (acc["pos"] + F.length(x)).alias("pos"), (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], acc["left"]).otherwise(F.substring(x, -24, 24)).alias("left"),
-            F.when(acc["inside"], x).alias("match"),
-            F.when(add, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
+            start.alias("start"), (start + F.get(lengths, i)).alias("end"), F.get(parts, i).alias("text"),
+            F.substring(F.get(parts, i - 1), -24, 24).alias("left"),
+            F.substring(F.get(parts, i + 1), 1, 1).alias("next"))
+
+    some = F.size(parts) > 2
+    return F.when(some, F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), span)).otherwise(_none())
 
-    return F.aggregate(parts, empty, step)["spans"]
+
+def with_matches(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """``row`` and, for each name, the matches in ``text`` of (pattern, what a text must hold for it to match)."""
+    names = list(patterns)
+    cut = rows.select("row", *[F.when(F.col("text").rlike(needs), _parts(F.col("text"), pattern)).alias(n)
+                               for n, (pattern, needs) in patterns.items()])
+    cut = cut.select("*", *[F.transform(n, F.length).alias(f"{n}_lengths") for n in names])
+    cut = cut.select("*", *[_chunk_sums(f"{n}_lengths").alias(f"{n}_sums") for n in names])
+    return cut.select("row", *[_matches(n, f"{n}_lengths", f"{n}_sums").alias(n) for n in names])
 
 
 def _digits(x: Column) -> Column:
@@ -110,20 +136,14 @@ def _none() -> Column:
     return F.expr(f"cast(array() as array<{_SPAN}>)")
 
 
-def _found(text: Column, kind: str, pattern: str, needs: str) -> Column:
-    return F.when(text.rlike(needs), matches(text, pattern)).otherwise(_none())
-
-
 BASE_NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]", "phone": "[+][0-9]"}
 
 
 def with_candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``row``, the valid base spans and the wide generators' spans of each kind (columns base_* and wide_*)."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    out = docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    t = F.col("text")
-    out = out.select("row", *[_found(t, k, BASE[k], BASE_NEEDS[k]).alias(f"all_{k}") for k in KINDS],
-                     *[_found(t, k, WIDE[k], NEEDS[k]).alias(f"wide_{k}") for k in KINDS])
+    out = with_matches(docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), {
+        **{f"all_{k}": (BASE[k], BASE_NEEDS[k]) for k in KINDS}, **{f"wide_{k}": (WIDE[k], NEEDS[k]) for k in KINDS}})
     return out.select("row", *[F.filter(f"all_{k}", _rule(k)).alias(f"base_{k}") for k in KINDS],
                       *[f"wide_{k}" for k in KINDS])
 

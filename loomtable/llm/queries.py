@@ -144,7 +144,7 @@ line AS (SELECT DISTINCT source, t, unnest(string_split(t, chr(10))) AS l FROM p
 marked AS (
   SELECT line.source, l FROM line JOIN total ON line.source IS NOT DISTINCT FROM total.source
   WHERE regexp_matches(l, '[^\x09-\x0D\x20]')
-  GROUP BY line.source, l, n HAVING count(*) > 0.1 * n AND n >= 5),
+  GROUP BY line.source, l, n HAVING count(*) > 0.1 * n AND count(*) >= 5),
 doc AS (SELECT row_number() OVER () AS r, * FROM documents),
 parts AS (SELECT r, source, unnest(string_split(text, chr(10))) AS l,
                  unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM doc),
@@ -156,8 +156,7 @@ FROM doc LEFT JOIN kept USING (r)
 """)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # The SQL above defines the query: the ratio alone, which one page meets on a source of 5 to 9.
-    return lines.drop_boilerplate(docs, "source", "text", min_repeats=1).select(
+    return lines.drop_boilerplate(docs, "source", "text").select(
         "row.doc_id", F.col("kept_text").alias("text"), "n_lines", "n_dropped")
 
 

@@ -10,19 +10,23 @@ tree block is searched by the members of every block, one task for a pair of blo
 One tree of all fingerprints sent everywhere would grow with the data and be searched by every row in full. Sending
 each member only to the trees that can hold a neighbour loses nothing (pigeonhole).
 
-Where a similarity is asked for (``alike``), a candidate within ``reach`` bits becomes a link only if the Jaccard index of
-the two texts' sets of longer shingles, counted from the texts, is that high. The least values of SIGNATURE hash functions
-over these sets, which travel with the fingerprint, only spare texts far below (SLACK) that count. First the candidates
-that span a shard are counted, then those that these did not connect already, so a large group costs few counts.
-``reach`` may exceed ``radius``: the guarantee of meeting ends at ``radius`` bits, most pairs a few bits beyond still meet.
-
-Without it, a task returns links that span what it found, at most one per member; components come from rounds of
+Where a similarity is asked for (``alike``), the Jaccard index of the two texts' sets of longer shingles decides, counted
+from the texts. A pair of that similarity may be many bits apart, so shards then hold what agrees in one of BANDS pieces
+of a signature (the least values of SIGNATURE hash functions over the set): at 0.8 two texts miss each other in all
+pieces once in four thousand times. In a shard the tree is searched within ``reach`` bits, signatures rule out what lies
+far below (SLACK), and the rest is counted, in rounds: a task returns only pairs that span its members, the best
+estimates first; those alike by count make classes; the next round asks for pairs between classes that were not counted
+yet, until there are none. So a group of copies costs few counts, and no pair between two classes stays uncounted.
+
+Without ``alike``, a task returns links that span what it found, at most one per member; components come from rounds of
 large-star and small-star steps on those links, each written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -37,8 +41,14 @@ from .shared import materialize, rows_with
 TREE_SIZE = 2048
 #: Bytes of a signature, one for each hash function; the similarity read from it has a standard error of 0.05 at 0.8.
 SIGNATURE = 64
-#: A pair whose estimate is lower than asked for by more than this (four standard errors) is not counted.
-SLACK = 0.2
+#: A pair whose estimate is lower than asked for by more than this (three standard errors) is not counted.
+SLACK = 0.15
+#: Pieces of a signature, any of which brings two texts together, and how many are searched first.
+BANDS, FIRST_BANDS = 16, 4
+#: Larger units are first thinned: a member this similar to an earlier one is linked to that one alone.
+SMALL_UNIT, SURE = 64, 0.95
+#: Rounds over shards with a refused pair, before all that is left between their classes is counted at once.
+MAX_ROUNDS = 2
 
 _MIX = np.random.default_rng(7).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) | np.uint64(1)
 
@@ -159,23 +169,88 @@ def shard_links(
     return [(x, r) for x in parent if (r := _root(parent, x)) != x]
 
 
-def shard_candidates(
-    tree: list[int], queries: list[int], reach: int, maybe: Callable[[int, int], bool],
-) -> list[tuple[int, int, bool]]:
-    """All pairs (greater, lesser) that the queries find in the tree and that may be alike; true marks some that span
-    them."""
-    bk = BKTree()
-    for v in tree:
-        bk.add(v)
-    parent: dict[int, int] = {}
-    out = []
-    for v in queries:
-        for u in bk.within(v, reach):
-            if u != v and maybe(u, v):
-                a, b = _root(parent, u), _root(parent, v)
-                parent[max(a, b)] = min(a, b)
-                out.append((max(u, v), min(u, v), a != b))
-    return out
+@dataclass
+class Unit:
+    """Members of a shard, or of two of its blocks: ids, fingerprints, signatures, classes, and refused partners."""
+
+    fp: list[int]
+    print: list[int]
+    sig: np.ndarray
+    group: list[int]
+    refused: list[set[int]]
+    tree: list[int]
+    query: list[int]
+    reach: int
+    floor: float
+
+    def _near(self, bk: BKTree, at: dict[int, list[int]], i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of the tree that member ``i`` may be alike to, and the estimates."""
+        found = [j for v in bk.within(self.print[i], self.reach) for j in at[v]
+                 if self.group[j] != self.group[i] and self.fp[j] not in self.refused[i]]
+        if not found:
+            return np.array([], int), np.array([])
+        near = np.array(found)
+        estimate = (self.sig[near] == self.sig[i]).mean(1)
+        keep = estimate >= self.floor
+        return near[keep], estimate[keep]
+
+    def _tree(self, members: list[int]) -> tuple[BKTree, dict[int, list[int]]]:
+        bk, at = BKTree(), defaultdict(list)
+        for i in members:
+            bk.add(self.print[i])
+            at[self.print[i]].append(i)
+        return bk, at
+
+    def thinned(self) -> list[tuple[int, int]]:
+        """One pair for each member that is nearly the same as an earlier one; the others make up the tree."""
+        bk, at = self._tree([])
+        tree, out = set(self.tree), []
+        for i in sorted({*self.tree, *self.query}, key=lambda i: self.fp[i]):
+            near, estimate = self._near(bk, at, i)
+            if len(near) and estimate.max() >= SURE:
+                out.append((i, int(near[estimate.argmax()])))
+            elif i in tree:
+                bk.add(self.print[i])
+                at[self.print[i]].append(i)
+        return out
+
+    def pairs(self, every: bool = False) -> list[tuple[int, int]]:
+        """Pairs between classes that may be alike: those that span them, best estimates first, or every one.
+
+        A pair has an end outside the largest class. So that class's members are only searched for in the tree of
+        the others, and a unit of one class costs nothing.
+        """
+        sizes = Counter(self.group)
+        if len(sizes) < 2:
+            return []
+        largest = sizes.most_common(1)[0][0]
+        whole = self._tree(self.tree)
+        others = self._tree([i for i in self.tree if self.group[i] != largest])
+        rows, cols, marks = [], [], []
+        for i in self.query:
+            trees = others if self.group[i] == largest else whole
+            if trees[1]:
+                near, estimate = self._near(*trees, i)
+                rows.append(np.full(len(near), i))
+                cols.append(near)
+                marks.append(estimate)
+        if not rows:
+            return []
+        a, b, mark = np.concatenate(rows), np.concatenate(cols), np.concatenate(marks)
+        if every:
+            return list(zip(a.tolist(), b.tolist(), strict=True))
+        parent: dict[int, int] = {}
+        out, left = [], len(sizes) - 1
+        values = np.array(self.fp, np.uint64)
+        for k in np.lexsort((np.maximum(values[a], values[b]), np.minimum(values[a], values[b]), -mark)).tolist():
+            x, y = _root(parent, self.group[a[k]]), _root(parent, self.group[b[k]])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(a[k]), int(b[k])))
+                left -= 1
+                if not left:
+                    break
+        return out
 
 
 def jaccard(a: bytes | None, b: bytes | None, size: int) -> float:
@@ -185,45 +260,131 @@ def jaccard(a: bytes | None, b: bytes | None, size: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def alike_links(candidates: DataFrame, texts: DataFrame, alike: float, size: int) -> DataFrame:
-    """(a, b) links among (a, b, span) candidates that connect all whose ``texts`` (fp, text) are ``alike``."""
-    candidates = materialize(candidates.groupBy("a", "b").agg(F.max("span").alias("span")), "candidates")
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a", "b")
-        for c in ("a", "b"):
-            both = both.join(texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")), c)
+def _members(heads: DataFrame) -> DataFrame:
+    """The members of all units: fp, print, sig, round, unit, shard, t, q, in_tree, in_query; shards of one member are left out."""
+    width = SIGNATURE // BANDS
+    pieces = F.array(*[F.struct((F.lit(i) >= FIRST_BANDS).cast("int").alias("round"),
+                                F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)).alias("shard"))
+                       for i in range(BANDS)])
+    placed = heads.select("fp", F.explode(pieces).alias("p")).select("fp", "p.*")
+    sizes = materialize(placed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
+    met = _in_units(placed.join(sizes, "shard"), ["fp", "round"])
+    return materialize(met.join(heads, "fp"), "members")
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                keep = [jaccard(x, y, size) >= alike for x, y in zip(frame["text_a"], frame["text_b"], strict=True)]
-                yield frame.loc[keep, ["a", "b"]]
 
-        return materialize(both.mapInPandas(run, "a long, b long"), "alike")
+def _search(members: DataFrame, reach: int, floor: float, how: str) -> DataFrame:
+    """(a, b, unit) pairs of each unit, by ``how``: thin, span or every."""
+    flat = members.repartition("unit").sortWithinPartitions("unit", "shard", "t", "q").select(
+        "fp", "print", "sig", "group", "refused", "unit", "shard", "t", "q", "in_tree", "in_query")
 
-    first = counted(candidates.filter("span"))
-    joined = materialize(components(first), "joined")
-    rest = candidates.filter("not span")
-    for c in ("a", "b"):
-        rest = rest.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left")
-    rest = rest.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b"))
-    return first.union(counted(rest))
+    def found(frame: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
+        fp = frame["fp"].to_numpy().view(np.uint64).tolist()
+        prints, group = (frame[c].to_numpy().view(np.uint64).tolist() for c in ("print", "group"))
+        tree, query, units = frame["in_tree"].to_numpy(), frame["in_query"].to_numpy(), frame["unit"].to_numpy()
+        sig, refused = frame["sig"].tolist(), frame["refused"].tolist()
+        out: list[tuple] = []
+        ends = [0, *cut.tolist(), len(fp)]
+        for x, y in zip(ends, ends[1:], strict=False):
+            if len(set(group[x:y])) < 2 or (how == "thin" and y - x <= SMALL_UNIT):
+                continue
+            one = Unit(
+                fp[x:y], prints[x:y], np.frombuffer(b"".join(sig[x:y]), np.uint8).reshape(-1, SIGNATURE), group[x:y],
+                [set() if r is None else {v & (1 << 64) - 1 for v in r.tolist()} for r in refused[x:y]],
+                np.flatnonzero(tree[x:y]).tolist(), np.flatnonzero(query[x:y]).tolist(), reach, floor)
+            pairs = one.thinned() if how == "thin" else one.pairs(how == "every")
+            out.extend((max(one.fp[i], one.fp[j]), min(one.fp[i], one.fp[j]), units[x]) for i, j in pairs)
+        ab = np.array([x[:2] for x in out], np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1], "unit": np.array([x[2] for x in out], np.int64)})
+
+    return flat.mapInPandas(lambda frames: _each_unit(frames, ["unit", "shard", "t", "q"], found),
+                            "a long, b long, unit long").distinct()
+
+
+def alike_links(
+    heads: DataFrame, texts_of: Callable[[DataFrame], DataFrame], reach: int, alike: float, size: int,
+) -> DataFrame:
+    """(a, b) links that connect all of ``heads`` (fp, print, sig) whose texts are ``alike``. ``fp`` names a text,
+    ``print`` is its fingerprint; ``texts_of`` gives the texts (fp, text) for a table of fp."""
+    spark = heads.sparkSession
+    members = _members(heads)
+    texts = materialize(texts_of(members.select("fp").distinct()), "texts")
+    links = spark.createDataFrame([], "a long, b long")
+    refused, classes = links, spark.createDataFrame([], "node long, component long")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = [jaccard(x, y, size) >= alike for x, y in zip(frame["text_a"], frame["text_b"], strict=True)]
+            yield frame[["a", "b"]].assign(good=np.array(keep, bool))
+
+    def search(part: DataFrame, how: str) -> DataFrame:
+        """The pairs (a, b, unit) that a round finds, with whether they are alike by count; they are taken in."""
+        nonlocal links, refused, classes
+        both = refused.union(refused.select("b", "a"))
+        known = both.groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("refused"))
+        part = part.join(classes.withColumnRenamed("node", "fp"), "fp", "left").join(known, "fp", "left")
+        part = part.withColumn("group", F.coalesce("component", "fp"))
+        found = materialize(_search(part, reach, alike - SLACK, how), "candidates")
+        both = found.select("a", "b").distinct()
+        for c in ("a", "b"):
+            both = both.join(texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")), c)
+        judged = both.mapInPandas(run, "a long, b long, good boolean")
+        judged = materialize(found.join(judged, ["a", "b"]), "counted")
+        good = judged.filter("good").select("a", "b").distinct()
+        refused = refused.union(judged.filter("not good").select("a", "b").distinct())
+        if not good.isEmpty():
+            links = links.union(good)
+            classes = materialize(components(links), "classes")
+        return judged
+
+    search(members.filter("round = 0"), "thin")
+    for i in (0, 1):
+        part = members.filter(F.col("round") == i)
+        for n in range(MAX_ROUNDS + 1):
+            judged = search(part, "every" if n == MAX_ROUNDS else "span")
+            again = judged.filter("not good").select("unit").distinct()
+            if again.isEmpty():
+                break
+            part = members.join(again, "unit", "left_semi")
+    return links
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(
-    prints: DataFrame, radius: int, bands: int, reach: int | None = None, alike: float | None = None,
-) -> DataFrame:
-    """(a, b) links between the different fingerprints ``fp`` (signed longs): they span what lies within the radius.
+def _in_units(met: DataFrame, carried: list[str]) -> DataFrame:
+    """Members of shards (``fp``, ``shard`` and its size ``n``) once for each unit they take part in. A unit is a tree
+    block ``t`` and a query block ``q`` of a shard; ``unit`` names it in one long."""
+    blocks = F.ceil(F.col("n") / TREE_SIZE)
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    met = met.select(*carried, "shard", blocks.alias("blocks"), own.alias("own"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("own", j).alias("t"), F.greatest("own", j).alias("q")))
+    sent = met.select(*carried, "shard", "own", F.explode(pairs).alias("at"))
+    return sent.select(*carried, F.xxhash64("shard", "at").alias("unit"), "shard", "at.*",
+                       (F.col("own") == F.col("at.t")).alias("in_tree"),
+                       (F.col("own") == F.col("at.q")).alias("in_query"))
+
+
+def _each_unit(
+    frames: Iterator[pd.DataFrame], keys: list[str], found: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
+) -> Iterator[pd.DataFrame]:
+    """``found`` of whole units, of rows sorted by unit: the last unit of a frame may go on in the next one."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        key = frame[keys].to_numpy()
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        last = int(cut[-1]) if len(cut) else 0
+        if last:
+            yield found(frame.iloc[:last], cut[:-1])
+        rest = frame.iloc[last:]
+    if rest is not None:
+        yield found(rest, np.array([], int))
 
-    With ``alike``, ``prints`` also has ``sig``, and (a, b, span) candidates for a link are returned: all that meet within
-    ``reach`` bits (by default the radius) and whose signatures don't rule that similarity out.
-    """
-    reach = radius if reach is None else reach
-    carried = ["fp"] if alike is None else ["fp", "sig"]
+
+def links(prints: DataFrame, radius: int, bands: int) -> DataFrame:
+    """(a, b) links between the different fingerprints ``fp`` (signed longs): they span what lies within the radius."""
     if not radius < bands <= 64:
         raise ValueError("there must be more bands than the radius")
     edges = np.linspace(0, 64, bands + 1).astype(int)
@@ -233,64 +394,32 @@ def links(
         masks.append(_signed(mask))
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
                      for i, m in enumerate(masks)])
-    members = prints.select(*carried, F.explode(keys).alias("shard"))
+    members = prints.select("fp", F.explode(keys).alias("shard"))
     sizes = members.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialize(sizes, "shards").withColumnRenamed("shard", "big")
     met = members.join(sizes, members["shard"] == sizes["big"])
-    blocks = F.ceil(F.col("n") / TREE_SIZE)
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    met = met.select(*carried, "shard", blocks.alias("blocks"), own.alias("own"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-        F.least("own", j).alias("tree"), F.greatest("own", j).alias("query")))
-    sent = met.select(*carried, "shard", "own", F.explode(pairs).alias("at"))
-    # One long names the shard and the two blocks; tasks read it in order.
-    sent = sent.select(*carried, F.xxhash64("shard", "at").alias("unit"), "shard", "at",
-                       (F.col("own") == F.col("at.tree")).alias("in_tree"),
-                       (F.col("own") == F.col("at.query")).alias("in_query"))
-    sent = sent.repartition("unit").sortWithinPartitions("unit", "shard", "at")
-    flat = sent.select(*carried, F.col("shard.mask").alias("m"), F.col("shard.bits").alias("s"),
-                       F.col("at.tree").alias("t"), F.col("at.query").alias("q"), "in_tree", "in_query")
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The rows come sorted by unit; the last unit of a frame may go on in the next one.
-        rest = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            key = frame[["m", "s", "t", "q"]].to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            last = int(cut[-1]) if len(cut) else 0
-            yield found(frame.iloc[:last], cut[:-1])
-            rest = frame.iloc[last:]
-        if rest is not None:
-            yield found(rest, np.array([], int))
+    # Tasks read the units in order.
+    sent = _in_units(met, ["fp"]).repartition("unit").sortWithinPartitions("unit", "shard", "t", "q")
+    flat = sent.select("fp", F.col("shard.mask").alias("m"), F.col("shard.bits").alias("s"), "t", "q",
+                       "in_tree", "in_query")
 
     def found(frame: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
         fp = frame["fp"].to_numpy().view(np.uint64).tolist()
         tree, query = frame["in_tree"].tolist(), frame["in_query"].tolist()
-        sig = None if alike is None else dict(zip(fp, frame["sig"], strict=True))
-
-        def maybe(x: int, y: int) -> bool:
-            return similarity(sig[x], sig[y]) >= alike - SLACK
-
         out: list[tuple] = []
         ends = [0, *cut.tolist(), len(fp)]
         for a, b in zip(ends, ends[1:], strict=False):
-            if sig is not None and b - a > 1:
-                out.extend(shard_candidates([fp[i] for i in range(a, b) if tree[i]],
-                                            [fp[i] for i in range(a, b) if query[i]], reach, maybe))
-            elif b - a == 2 and tree[a] and tree[a + 1] and query[a]:
-                if (fp[a] ^ fp[a + 1]).bit_count() <= reach:
+            if b - a == 2 and tree[a] and tree[a + 1] and query[a]:
+                if (fp[a] ^ fp[a + 1]).bit_count() <= radius:
                     out.append((fp[a], fp[a + 1]))
             elif b - a > 1:
                 out.extend(shard_links([fp[i] for i in range(a, b) if tree[i]],
-                                       [fp[i] for i in range(a, b) if query[i]], reach))
-        pairs = np.array([x[:2] for x in out], np.uint64).reshape(-1, 2).view(np.int64)
-        made = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-        return made if sig is None else made.assign(span=np.array([x[2] for x in out], bool))
+                                       [fp[i] for i in range(a, b) if query[i]], radius))
+        pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    if alike is not None:
-        return flat.mapInPandas(search, "a long, b long, span boolean")
-    return flat.mapInPandas(search, "a long, b long").distinct()
+    return flat.mapInPandas(lambda frames: _each_unit(frames, ["m", "s", "t", "q"], found),
+                            "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -334,21 +463,25 @@ def near_duplicates(
     """Columns ``row`` (the columns in ``keep``, by default all), ``fp`` (signed), ``component`` and ``first``.
 
     ``component`` is the least ``key`` over all rows whose fingerprints are reachable by links of at most ``radius``
-    differing bits (with ``alike``: of at most ``reach`` bits and that similarity of the sets of shingles of
-    ``alike_words`` words; texts of one fingerprint are always linked); ``first`` is true for one row of each component: the one with that key, and among repeated rows
-    with that key one of them. Rows without key count, but give no name: a component of such rows only has a null name.
+    differing bits. With ``alike`` a link is that similarity of the sets of shingles of ``alike_words`` words, between
+    texts that share a piece of their signatures and have fingerprints within ``reach`` bits; texts of the same words
+    are always linked, and ``radius`` and ``bands`` play no part. ``first`` is true for one row of each component: the
+    one with that key, and among repeated rows with that key one of them. Rows without key count, but give no name: a component of such rows only has a null name.
     A null or empty text has no words: its fingerprint is zero, linked like any other. Names in ``row`` can't clash.
     """
     def make(texts: list[bytes | None]) -> list[dict]:
         found = [_signed(f) for f in fingerprints(texts, size)]
         if alike is None:
             return [{"fp": f} for f in found]
-        return [{"fp": f, "sig": s} for f, s in zip(found, signatures(texts, alike_words), strict=True)]
+        # Different texts may have one fingerprint, so here a hash of the words names a text.
+        names = [_signed(xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 7)) for t in texts]
+        return [{"fp": n, "print": f, "sig": s}
+                for n, f, s in zip(names, found, signatures(texts, alike_words), strict=True)]
 
     names = docs.columns if keep is None else keep
     carried = [*names, *[c for c in [key, *([] if alike is None else [text])] if c not in names]]
     carried = list(dict.fromkeys(carried))
-    fields = "fp long" if alike is None else "fp long, sig binary"
+    fields = "fp long" if alike is None else "fp long, print long, sig binary"
     prints = rows_with(docs, text, make, fields, carried).select("row", "out.*")
     prints = materialize(prints.select("*", F.xxhash64("row", F.monotonically_increasing_id()).alias("tie")),
                          "fingerprints")
@@ -356,14 +489,17 @@ def near_duplicates(
     # The first row of a fingerprint: the least key, nulls last, then the least tie number.
     order = F.struct(k.isNull().alias("none"), k.alias("key"), F.col("tie"))
     made = [F.min(order).alias("head")] if alike is None else [
-        F.min(order).alias("head"), F.min_by("sig", order).alias("sig")]
+        F.min(order).alias("head"), F.first("print").alias("print"), F.first("sig").alias("sig")]
     heads = materialize(prints.groupBy("fp").agg(*made), "heads")
-    found = links(heads.drop("head"), radius, bands, reach, alike)
-    if alike is not None:
-        at = heads.select(F.col("fp").alias("f"), F.col("head.tie").alias("t"))
-        texts = prints.join(at, (prints["fp"] == at["f"]) & (prints["tie"] == at["t"])).select(
-            "fp", F.col(f"row.`{text}`").cast("binary").alias("text"))
-        found = alike_links(found, texts, alike, alike_words)
+    if alike is None:
+        found = links(heads.drop("head"), radius, bands)
+    else:
+        def texts_of(wanted: DataFrame) -> DataFrame:
+            at = heads.join(wanted, "fp", "left_semi").select(F.col("fp").alias("f"), F.col("head.tie").alias("t"))
+            return prints.join(at, (prints["fp"] == at["f"]) & (prints["tie"] == at["t"])).select(
+                "fp", F.col(f"row.`{text}`").cast("binary").alias("text"))
+
+        found = alike_links(heads.select("fp", "print", "sig"), texts_of, radius if reach is None else reach, alike, alike_words)
     joined = components(found)
     named = heads.join(joined, heads["fp"] == joined["node"], "left").select(
         "fp", "head", F.coalesce("component", "fp").alias("group"))
@@ -372,7 +508,7 @@ def near_duplicates(
         F.col("fp").alias("f"), "best"), "components")
     out = prints.join(named, prints["fp"] == named["f"])
     row = F.struct(*[F.col(f"row.`{c}`") for c in names]).alias("row")
-    return out.select(row, "fp", F.col("best.key").alias("component"), (F.col("tie") == F.col("best.tie")).alias("first"))
+    return out.select(row, F.col("fp" if alike is None else "print").alias("fp"), F.col("best.key").alias("component"), (F.col("tie") == F.col("best.tie")).alias("first"))
 
 
 def one_of_each(

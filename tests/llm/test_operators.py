@@ -3,7 +3,8 @@
 import math
 import random
 import re
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -94,6 +95,57 @@ def test_packing_is_gapless_whole_and_near_the_bound(spark):
     assert packing.pack(docs.limit(0), "text", ["doc_id"], tokenizer_path()).count() == 0
 
 
+def sequences_of(histogram, capacity=4096):
+    """The number of sequences of a plan that was seen to hold every piece once."""
+    plan, held = packing.bin_completion(dict(histogram), capacity), Counter()
+    for times, need in plan.patterns:
+        assert sum(length * copies for length, copies in need) <= capacity
+        for length, copies in need:
+            held[length] += times * copies
+    assert held == Counter(histogram)
+    return plan.sequences
+
+
+@pytest.mark.parametrize("pieces, most", [(3, 404), (4, 404)])
+def test_plan_of_sequences_that_were_cut_up(pieces, most):
+    rng = random.Random(pieces)
+    cuts = [[0, *sorted(rng.sample(range(1, 4096), pieces - 1)), 4096] for _ in range(400)]
+    assert 400 <= sequences_of(Counter(b - a for c in cuts for a, b in zip(c, c[1:], strict=False))) <= most
+
+
+def test_plan_of_a_skewed_histogram_is_bounded_in_time():
+    """A third of all pieces have one awkward length."""
+    rng, histogram = random.Random(9), Counter({1500: 300_000})
+    histogram.update(rng.randint(200, 2600) for _ in range(600_000))
+    bound = math.ceil(sum(v * n for v, n in histogram.items()) / 4096)
+    start = time.process_time()
+    assert sequences_of(histogram) <= 1.02 * bound
+    assert time.process_time() - start < 60
+
+
+def test_dominated_fillings():
+    search = packing.Search(Counter({5: 1, 4: 2, 3: 1, 9: 1}), 1000)
+    assert search.dominated((4, 3), 1)  # 5 for 4
+    assert search.dominated((4, 4), 1)  # 9 for both
+    assert not search.dominated((5, 3), 0) and not search.dominated((9,), 3)
+
+
+@pytest.mark.parametrize("texts", [
+    ["ab.\ncd", "ab, cd.. ef). g.h ", "á, b., ß. É, xⅠ. ǆ, ª. _. 1. a1, ", "İ, I. İ. ſ. K, Σ. ΑΣ ", ""],
+    ["\x01", "a\x01b | ~ c", "é e\u0301 ́x", "x\u00a0y\u2003z\u3000", "'S it's don't", "\r\n\t \x0b\x0c a", "日本語 テスト 12 ٣"],
+])
+def test_remembered_parts_give_the_tokenizers_ids(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    for limit in (450_000, 2):
+        monkeypatch.setattr(packing, "MAX_CHUNKS", limit)
+        encoder = packing.Encoder(tokenizer_path())
+        for _ in range(2):
+            got = encoder.ids([t.encode() for t in texts], 1)
+            assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bin_completion_matches_exhaustive_search(seed):
     rng = random.Random(seed)
@@ -267,6 +319,88 @@ def test_near_duplicates_are_decided_by_exact_similarity(spark):
     assert got == want and 10 < sum(i != c for i, c in want.items()) < 50
 
 
+def test_recall_by_similarity(spark):
+    """Isolated pairs of 0.8 and more, one replaced passage or scattered words, by bands of four hundredths."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    made, pairs = Counter(), []
+    while len(made) < 10 or min(made.values()) < 20:
+        n, kind, share = rng.randint(150, 600), rng.choice("ps"), rng.uniform(0.8, 1.0)
+        a = rng.choices(vocabulary, k=n)
+        b, away = list(a), n * (1 - 2 * share / (1 + share))
+        if kind == "p":
+            m = max(1, int(away) - rng.randint(0, 4))
+            at = rng.randrange(n - m)
+            b[at: at + m] = rng.choices(vocabulary, k=m)
+        else:
+            for at in rng.sample(range(n), max(1, round(away / 4.2))):
+                b[at] = rng.choice(vocabulary)
+        a, b = " ".join(a), " ".join(b)
+        alike = simhash.jaccard(a.encode(), b.encode(), 5)
+        band = (kind, min(4, int((alike - 0.8) / 0.04)))
+        if 0.8 <= alike < 1 and made[band] < 20:
+            made[band] += 1
+            pairs.append((band, a, b))
+    docs = spark.createDataFrame([(2 * i + k, p[1 + k]) for i, p in enumerate(pairs) for k in (0, 1)],
+                                 "doc_id long, text string")
+    found = simhash.near_duplicates(docs, "text", "doc_id", 3, reach=corpus_pipeline.REACH, alike=0.8, keep=["doc_id"])
+    got = {r["doc_id"]: r["component"] for r in found.select("row.doc_id", "component").collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    hit = defaultdict(int)
+    for i, (band, _, _) in enumerate(pairs):
+        hit[band] += got[2 * i + 1] == 2 * i
+    assert all(hit[band] >= 0.9 * n for band, n in made.items()), hit
+
+
+@pytest.mark.parametrize("size", [0, 10**9])
+def test_groups_of_copies_and_of_half_alike_texts(spark, monkeypatch, size):
+    """A large group of near copies, and texts that share a passage: not all pairs are counted, no link is lost."""
+    monkeypatch.setattr(simhash, "SMALL_UNIT", size)
+    rng, vocabulary = random.Random(4), [f"v{i}" for i in range(5000)]
+    base, shared = rng.choices(vocabulary, k=300), rng.choices(vocabulary, k=180)
+    texts = []
+    for _ in range(150):
+        near = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 7)):
+            near[at] = rng.choice(vocabulary)
+        texts.append(near)
+    texts += [shared + rng.choices(vocabulary, k=rng.choice([20, 38, 45, 60])) for _ in range(40)]
+    raw = [" ".join(t) for t in texts]
+    sets = [shingle_set(t) for t in raw]
+    group = list(range(len(raw)))
+    for i in range(len(raw)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    counted = []
+    materialize = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: counted.append((label, materialize(df, label))) or counted[-1][1])
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    found = simhash.near_duplicates(docs, "text", "doc_id", 3, reach=24, alike=0.8, keep=["doc_id"])
+    got = {r["doc_id"]: r["component"] for r in found.select("row.doc_id", "component").collect()}
+    assert got == dict(enumerate(group))
+    pairs = [df.select("a", "b").distinct().count() for label, df in counted if label == "counted"]
+    assert sum(pairs) < 6000  # of 17,955
+
+
+def test_many_spans_in_one_text(spark):
+    text = "é ".join(f"u{i}@x{i}.de, +49 30 {10_000_000 + i}" for i in range(12_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.with_candidates(docs, "text", ["doc_id"]).select("base_email", F.size("base_phone").alias("n")).first()
+    places = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.de", text)]
+    assert [(x["start"], x["end"]) for x in row["base_email"]] == places and row["n"] == 12_000
+
+
+def test_contents_take_linear_time_in_nesting():
+    page = "<body>" + "<div>a " * 20_000 + "</div>" * 20_000 + "</body>"
+    start = time.process_time()
+    assert len(pages.variants(pages.keyed(pages.parse(page)))) >= 1
+    assert time.process_time() - start < 20
+    one, other = (pages.contents(pages.keyed(pages.parse(f"<div><p>a b</p><p>{x}</p></div>"))) for x in ("c", "d"))
+    assert list(one.values())[1] == list(other.values())[1] and len(set(one.values()) ^ set(other.values())) == 4
+
+
 def test_base_spans_and_redaction(spark):
     texts = ["mail a.b@c.de, 4539 1488 0343 6467 and +1 (743) 555-3824", "1.2.3.4 999.1.1.1 1.2.3.4.5", "é x@y.z é",
              None, "", "a@b.c-x%y@d.e +12 4539148803436468", "9" * 20_000, "4539148803436467 4539148803436467"]
