@@ -46,7 +46,7 @@ SLACK = 0.15
 #: Pieces of a signature, any of which brings two texts together, and how many are searched first.
 BANDS, FIRST_BANDS = 16, 4
 #: Larger units are first thinned: a member this similar to an earlier one is linked to that one alone.
-SMALL_UNIT, SURE = 64, 0.95
+SMALL_UNIT, SURE = 64, 0.85
 #: Rounds over shards with a refused pair, before all that is left between their classes is counted at once.
 MAX_ROUNDS = 2
 
