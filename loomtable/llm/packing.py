@@ -249,10 +249,11 @@ class Encoder:
                 ids = made.ids
                 self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        """The ids of UTF-8 texts, each with ``end`` behind them."""
+    def ids(self, texts: list[bytes | str], end: int) -> list[np.ndarray]:
+        """The ids of texts (UTF-8 where they are bytes), each with ``end`` behind them."""
         parts = []
         for raw in texts:
+            raw = raw.encode() if isinstance(raw, str) else raw
             text = (raw.translate(_LOWER) if self.folds else raw).decode("utf-8", "replace")
             if self.separates:
                 text = _MARKS.sub(r" \1", text)

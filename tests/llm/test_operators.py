@@ -384,6 +384,68 @@ def test_groups_of_copies_and_of_half_alike_texts(spark, monkeypatch, size):
     assert sum(pairs) < 6000  # of 17,955
 
 
+def test_rows_of_near_dedup_grow_with_a_cloud_and_not_with_its_pairs(spark, monkeypatch):
+    """Texts that share a passage, nearly all pairs close below the limit: what is written stays linear."""
+    rng, vocabulary = random.Random(8), [f"v{i}" for i in range(5000)]
+    shared = rng.choices(vocabulary, k=200)
+    raw = [" ".join(shared + rng.choices(vocabulary, k=rng.choice([22, 27, 30, 33]))) for _ in range(160)]
+    sets = [shingle_set(t) for t in raw]
+    group, refused = list(range(len(raw))), 0
+    for i in range(len(raw)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+            else:
+                refused += 1
+    written = defaultdict(int)
+    materialize = simhash.materialize
+
+    def counting(df, label):
+        out = materialize(df, label)
+        if "a" in out.columns:
+            written[label] += out.select("a", "b").distinct().count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counting)
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    found = simhash.near_duplicates(docs, "text", "doc_id", 3, reach=40, alike=0.8, keep=["doc_id"])
+    got = {r["doc_id"]: r["component"] for r in found.select("row.doc_id", "component").collect()}
+    assert got == dict(enumerate(group)) and 20 < len(set(group)) and refused > 8000
+    # At most one pair a member in a unit of each of 16 bands, in two rounds.
+    assert written["counted"] < 2500 and written["linked"] < 160
+
+
+def test_links_of_a_unit_are_those_by_brute_force():
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [b"", None, b"a b", b"A  b", b"a b c d e", b"a b c d e"]
+    for _ in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 8)):
+            words[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words).encode())
+    n, want = len(texts), list(range(len(texts)))
+    for i in range(n):
+        for j in range(i):
+            if simhash.jaccard(texts[i], texts[j], 5) >= 0.8:
+                a, b = want[i], want[j]
+                want = [min(a, b) if g in (a, b) else g for g in want]
+    prints = simhash.fingerprints(texts, 3)
+    sig = np.frombuffer(b"".join(simhash.signatures(texts, 5)), np.uint8).reshape(n, -1)
+    halves = [list(range(0, n, 2)), list(range(1, n, 2))]
+    for blocks in ([(list(range(n)),) * 2], [(halves[0],) * 2, (halves[1],) * 2, tuple(halves)]):
+        got = list(range(n))
+        for tree, query in blocks:
+            for band in range(simhash.BANDS):
+                unit = simhash.Unit(list(range(n)), prints, sig, list(got), [set()] * n, tree, query, 64, 0.0)
+                for i, j in unit.links(texts, band, 5, 0.8):
+                    assert got[i] != got[j]
+                    a, b = got[i], got[j]
+                    got = [min(a, b) if g in (a, b) else g for g in got]
+        assert got == want and 5 < len(set(want)) < n
+
+
 def test_many_spans_in_one_text(spark):
     text = "é ".join(f"u{i}@x{i}.de, +49 30 {10_000_000 + i}" for i in range(12_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
