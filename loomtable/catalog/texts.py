@@ -174,5 +174,7 @@ def udf_registered(spark, sf):
 @query(f"WITH {TWEETS} SELECT text, unnest({TAGS}) AS hashtag FROM tweets")
 def udtf_lateral(spark, sf):
     register_functions(spark)
-    register_view(tweets(spark, sf), "tweets")
-    return spark.sql("SELECT text, hashtag FROM tweets, LATERAL HashtagExtractor(text)")
+    view = register_view(tweets(spark, sf), "tweets")
+    found = spark.sql(f"SELECT text, hashtag FROM {view}, LATERAL HashtagExtractor(text)")
+    spark.catalog.dropTempView(view)  # the rows don't need it any more
+    return found

@@ -28,10 +28,14 @@ def customers_without_orders_sql(customers: DataFrame, orders: DataFrame) -> Dat
     """Customers without orders, as SQL over session views, written as an anti join."""
     known = register_view(customers, "all_customers")
     placed = register_view(orders, "all_orders")
-    return customers.sparkSession.sql(
+    spark = customers.sparkSession
+    found = spark.sql(
         f"SELECT c.customer_id, c.name FROM {known} c LEFT ANTI JOIN {placed} o "
         "ON c.customer_id = o.customer_id ORDER BY c.customer_id"
     )
+    for view in (known, placed):
+        spark.catalog.dropTempView(view)  # the rows don't need them any more
+    return found
 
 
 def minimum_by_type(readings: DataFrame, kind: str, key: str, value: str, type_column: str = "type") -> DataFrame:
