@@ -8,6 +8,8 @@ either item and still finds the pair. What the busy raters left out add to a pai
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from loomtable.session import scratch_path
 
 #: Mean number of items in a bucket. Pairs are built between two buckets of a user at a time.
 BUCKET_ITEMS = 500
+#: Ratings whose pairs one task builds, and the share of them that a hash picks to estimate how many there are.
+TASK_RATINGS, PICKED = 250_000, 256
 
 
 def _pair_sums(pairs: DataFrame) -> DataFrame:
@@ -60,10 +64,19 @@ def _in_units(sized: DataFrame, bucket: int) -> DataFrame:
     )
 
 
-def _same_user_pairs(sized: DataFrame, bucket: int) -> DataFrame:
+def _tasks(ratings: DataFrame) -> int | None:
+    """Tasks to build pairs in, so that what one holds does not grow with the ratings; None where these are few."""
+    picked = ratings.filter(F.pmod(F.xxhash64("_user", "_item"), F.lit(PICKED)) == 0).count()
+    wanted = math.ceil(picked * PICKED / TASK_RATINGS)
+    return max(wanted, ratings.sparkSession.sparkContext.defaultParallelism) if wanted > 1 else None
+
+
+def _same_user_pairs(sized: DataFrame, bucket: int, tasks: int | None = None) -> DataFrame:
     """Unordered item pairs of each user, as (item1 < item2, x, y), each built in one unit."""
     unit = ["_user", "_low", "_high"]
     rows = _in_units(sized, bucket)
+    if tasks:
+        rows = rows.repartition(tasks, *unit)
     a = rows.select(*unit, F.col("_own").alias("_own1"), F.col("_item").alias("item1"), F.col("_rating").alias("x"))
     b = rows.select(*unit, F.col("_own").alias("_own2"), F.col("_item").alias("item2"), F.col("_rating").alias("y"))
     # In a unit of two buckets only pairs across them count; pairs within one have a unit of their own.
@@ -86,11 +99,11 @@ def _pruned_sums(ratings: DataFrame, min_pairs: int, bucket: int) -> DataFrame:
     known = ratings.groupBy("_item").agg(F.count("*").alias("_raters")).filter(F.col("_raters") >= min_pairs)
     sized = _sized(ratings).join(known.select("_item"), "_item", "left_semi")
     if hot_keys(ratings, ["_user"], ["_item"], bucket) is None:
-        return _pair_sums(_same_user_pairs(sized, bucket))  # hardly anybody to leave out
+        return _pair_sums(_same_user_pairs(sized, bucket, _tasks(ratings)))  # hardly anybody to leave out
     kept, left_out = _without_busiest(sized, min_pairs, bucket)
     # Written once: the pairs found are needed for their sums and for what the busiest raters add.
     path = scratch_path(ratings.sparkSession, "pairs")
-    _pair_sums(_same_user_pairs(kept, bucket)).write.parquet(path)
+    _pair_sums(_same_user_pairs(kept, bucket, _tasks(ratings))).write.parquet(path)
     found = ratings.sparkSession.read.parquet(path)
 
     def side(rows: DataFrame, item: str, value: str) -> DataFrame:
@@ -121,7 +134,8 @@ def item_similarity(
     score above ``min_score``.
 
     A user's items are cut into buckets of about ``bucket`` items and paired bucket with bucket, so that no key of
-    the join has more than about twice as many rows, whatever the user's size. Pairs are added up map-side. For
+    the join has more than about twice as many rows, whatever the user's size. Pairs are added up map-side, in more
+    tasks the more ratings there are (a small job estimates how many). For
     ``min_pairs`` above 1, items with fewer raters go first. If there are busy users, which a small job finds out, each
     item's busiest raters take no part in building pairs, and the pairs found are written to the scratch folder.
     """
@@ -131,7 +145,7 @@ def item_similarity(
     ).filter(F.col("_user").isNotNull() & F.col("_item").isNotNull())
     if min_pairs > 1:
         return _scored(_pruned_sums(ratings, min_pairs, bucket), min_pairs, min_score)
-    return _scored(_pair_sums(_same_user_pairs(_sized(ratings), bucket)), min_pairs, min_score)
+    return _scored(_pair_sums(_same_user_pairs(_sized(ratings), bucket, _tasks(ratings))), min_pairs, min_score)
 
 
 def similar_items(

@@ -224,3 +224,18 @@ def test_a_hot_user_makes_no_pairs_that_the_limit_rules_out(spark):
     assert left_out.select("_user").distinct().collect() == [(0,)]
     got = item_similarity(df, "_user", "_item", "_rating", min_pairs=2, bucket=50)
     assert {(p.item1, p.item2): (round(p.score, 9), p.num_pairs) for p in got.collect()} == brute_similarity(data, 2, None)
+
+
+def test_pairs_are_built_in_more_tasks_the_more_ratings_there_are(spark, monkeypatch):
+    from loomtable.operators import similarity
+
+    monkeypatch.setattr(similarity, "TASK_RATINGS", 100)
+    monkeypatch.setattr(similarity, "PICKED", 4)
+    made = spark.range(12_000).selectExpr("id div 4 AS u", "(id * 7919) % 997 AS i", "id % 5 AS r").distinct()
+    ratings = made.selectExpr("u AS _user", "i AS _item", "r AS _rating")
+    tasks = similarity._tasks(ratings)
+    assert 90 < tasks < 150 and similarity._tasks(ratings.limit(0)) is None
+    pairs = similarity._same_user_pairs(similarity._sized(ratings), 500, tasks)
+    assert pairs.rdd.getNumPartitions() == tasks
+    want = made.alias("a").join(made.alias("b"), "u").filter("a.i < b.i").groupBy("a.i", "b.i").count().count()
+    assert similarity.item_similarity(made, "u", "i", "r").count() == want
