@@ -135,7 +135,7 @@ def item_similarity(
 
     A user's items are cut into buckets of about ``bucket`` items and paired bucket with bucket, so that no key of
     the join has more than about twice as many rows, whatever the user's size. Pairs are added up map-side, in more
-    tasks the more ratings there are (a small job estimates how many). For
+    tasks the more ratings there are for ``min_pairs`` above 1 (a small job estimates how many). For
     ``min_pairs`` above 1, items with fewer raters go first. If there are busy users, which a small job finds out, each
     item's busiest raters take no part in building pairs, and the pairs found are written to the scratch folder.
     """
@@ -145,7 +145,7 @@ def item_similarity(
     ).filter(F.col("_user").isNotNull() & F.col("_item").isNotNull())
     if min_pairs > 1:
         return _scored(_pruned_sums(ratings, min_pairs, bucket), min_pairs, min_score)
-    return _scored(_pair_sums(_same_user_pairs(_sized(ratings), bucket, _tasks(ratings))), min_pairs, min_score)
+    return _scored(_pair_sums(_same_user_pairs(_sized(ratings), bucket)), min_pairs, min_score)
 
 
 def similar_items(
